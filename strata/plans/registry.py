@@ -201,3 +201,117 @@ def q_llm_cost(spark, sf):
     u = user_turns(spark, sf).join(assistant_replies(spark, sf), ["conv_id", "turn"], "left")
     c = providers.cost_plan(u, "query", "answer")
     return c.select("conv_id", "turn", "provider", "prompt_tokens", "completion_tokens", "tokens", "cost")
+
+
+# ── step 4: MinHash LSH ──────────────────────────────────────────────────────
+
+from strata.operators import minhash as MH  # noqa: E402
+
+_BANK_SRC = "SELECT item_id, text FROM benchmark"
+_PROBE_SRC = f"SELECT conv_id || ':' || turn AS pid, query FROM ({USER_TURNS_SQL}) x"
+_MH_BANK = ",\n".join([
+    MH.shingles_cte_sql("bsh", _BANK_SRC, "item_id", "text", 3),
+    MH.signature_cte_sql("bs", "bsh"),
+    MH.bands_cte_sql("bb", "bs"),
+])
+_MH_PROBE = ",\n".join([
+    MH.shingles_cte_sql("psh", _PROBE_SRC, "pid", "query", 3),
+    MH.signature_cte_sql("ps", "psh"),
+    MH.bands_cte_sql("pb", "ps"),
+])
+_PID = "CAST(split_part(pid, ':', 1) AS BIGINT) AS conv_id, CAST(split_part(pid, ':', 2) AS BIGINT) AS turn"
+_CAND = "cand AS (SELECT DISTINCT p.id AS pid, b.id AS bid FROM pb p JOIN bb b ON p.band = b.band AND p.key = b.key)"
+
+
+def _bank_index(spark, sf, k=3):
+    return MH.Index(table(spark, sf, "benchmark"), "item_id", "text", k=k)
+
+
+@register("q_shingles", f"""
+WITH {MH.shingles_cte_sql('sh', 'SELECT doc_id, text FROM documents', 'doc_id', 'text', 3)}
+SELECT id AS doc_id, CAST(count(*) AS BIGINT) AS n_shingles, CAST(sum(h % 1000) AS BIGINT) AS h_check
+FROM sh GROUP BY id""")
+def q_shingles(spark, sf):
+    sh = MH.shingle_rows(table(spark, sf, "documents"), ["doc_id"], "text", 3)
+    return sh.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_shingles"),
+                                    F.sum(F.col("h") % 1000).cast("long").alias("h_check"))
+
+
+@register("q_minhash_sig", f"""
+WITH {_MH_BANK}
+SELECT id AS item_id, CAST(slot AS INTEGER) AS slot, m FROM bs""")
+def q_minhash_sig(spark, sf):
+    sh = MH.shingle_rows(table(spark, sf, "benchmark"), ["item_id"], "text", 3)
+    return MH.signatures(sh, ["item_id"]).select("item_id", F.col("slot").cast("int").alias("slot"), "m")
+
+
+@register("q_lsh_candidates", f"""
+WITH {_MH_BANK},
+{_MH_PROBE},
+{_CAND}
+SELECT {_PID}, bid AS item_id FROM cand""")
+def q_lsh_candidates(spark, sf):
+    idx = _bank_index(spark, sf)
+    ps = MH.probe_signatures(user_turns(spark, sf), ["conv_id", "turn"], "query", idx)
+    return MH.candidates(ps, ["conv_id", "turn"], idx)
+
+
+@register("q_neardup_best", f"""
+WITH {_MH_BANK},
+{_MH_PROBE},
+{_CAND},
+sim AS (SELECT c.pid, c.bid, count(*) / CAST({MH.NUM_PERM} AS DOUBLE) AS sim
+        FROM cand c JOIN ps p ON p.id = c.pid JOIN bs b ON b.id = c.bid AND b.slot = p.slot AND b.m = p.m
+        GROUP BY c.pid, c.bid),
+best AS (SELECT pid, bid, sim, row_number() OVER (PARTITION BY pid ORDER BY sim DESC, bid) AS rn FROM sim)
+SELECT {_PID}, bid AS match_id, round_even(sim, 3) AS similarity FROM best WHERE rn = 1""")
+def q_neardup_best(spark, sf):
+    return MH.best_match(user_turns(spark, sf), ["conv_id", "turn"], "query", _bank_index(spark, sf))
+
+
+@register("q_jaccard_verify", f"""
+WITH {_MH_BANK},
+{_MH_PROBE},
+{_CAND},
+inter AS (SELECT c.pid, c.bid, count(*) AS ni FROM cand c JOIN psh p ON p.id = c.pid
+          JOIN bsh b ON b.id = c.bid AND b.g = p.g GROUP BY c.pid, c.bid),
+na AS (SELECT id, count(*) AS na FROM psh GROUP BY id),
+nb AS (SELECT id, count(*) AS nb FROM bsh GROUP BY id)
+SELECT {_PID}, c.bid AS item_id,
+       CAST(coalesce(ni, 0) AS DOUBLE) / (na + nb - coalesce(ni, 0)) AS jaccard
+FROM cand c JOIN na ON na.id = c.pid JOIN nb ON nb.id = c.bid
+LEFT JOIN inter i ON i.pid = c.pid AND i.bid = c.bid""".replace("SELECT CAST(split_part(pid", "SELECT CAST(split_part(c.pid").replace("CAST(split_part(pid, ':', 2)", "CAST(split_part(c.pid, ':', 2)"))
+def q_jaccard_verify(spark, sf):
+    idx = _bank_index(spark, sf)
+    u = user_turns(spark, sf)
+    keys = ["conv_id", "turn"]
+    cand = MH.candidates(MH.probe_signatures(u, keys, "query", idx), keys, idx)
+    psh = MH.shingle_rows(u, keys, "query", 3)
+    bsh = MH.shingle_rows(table(spark, sf, "benchmark"), ["item_id"], "text", 3)
+    return MH.exact_jaccard(cand, psh, bsh, keys, "item_id")
+
+
+_DOC_MH = ",\n".join([
+    MH.shingles_cte_sql("dsh", "SELECT doc_id, text FROM documents", "doc_id", "text", 8),
+    MH.signature_cte_sql("ds", "dsh", "oph"),
+    MH.bands_cte_sql("db", "ds"),
+])
+
+
+@register("q_doc_dedup", f"""
+WITH {_DOC_MH},
+bmin AS (SELECT band, key, min(id) AS rep_id FROM db GROUP BY band, key),
+rep AS (SELECT d.id, min(b.rep_id) AS rep_id FROM db d JOIN bmin b ON d.band = b.band AND d.key = b.key
+        GROUP BY d.id HAVING min(b.rep_id) < d.id),
+est AS (SELECT r.id, r.rep_id, count(*) AS ne FROM rep r JOIN ds a ON a.id = r.id
+        JOIN ds b ON b.id = r.rep_id AND b.slot = a.slot AND b.m = a.m GROUP BY r.id, r.rep_id),
+inter AS (SELECT r.id, r.rep_id, count(*) AS ni FROM rep r JOIN dsh a ON a.id = r.id
+          JOIN dsh b ON b.id = r.rep_id AND b.g = a.g GROUP BY r.id, r.rep_id),
+sz AS (SELECT id, count(*) AS n FROM dsh GROUP BY id)
+SELECT r.id AS doc_id, r.rep_id, round_even(coalesce(ne, 0) / CAST({MH.BANDS * MH.ROWS} AS DOUBLE), 3) AS est_sim,
+       CAST(coalesce(ni, 0) AS DOUBLE) / (sa.n + sb.n - coalesce(ni, 0)) AS jaccard
+FROM rep r JOIN sz sa ON sa.id = r.id JOIN sz sb ON sb.id = r.rep_id
+LEFT JOIN est e ON e.id = r.id AND e.rep_id = r.rep_id
+LEFT JOIN inter i ON i.id = r.id AND i.rep_id = r.rep_id""")
+def q_doc_dedup(spark, sf):
+    return MH.dedup_representatives(table(spark, sf, "documents"), "doc_id", "text", k=8, method="oph")
