@@ -315,3 +315,101 @@ LEFT JOIN est e ON e.id = r.id AND e.rep_id = r.rep_id
 LEFT JOIN inter i ON i.id = r.id AND i.rep_id = r.rep_id""")
 def q_doc_dedup(spark, sf):
     return MH.dedup_representatives(table(spark, sf, "documents"), "doc_id", "text", k=8, method="oph")
+
+
+# ── step 5/6: vectors and votes ──────────────────────────────────────────────
+
+from strata.operators import vectors as V  # noqa: E402
+from strata.operators import vote as VO  # noqa: E402
+
+_E = "e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)"
+_NN = f"""{_E},
+s AS (SELECT a.vec_id, b.vec_id AS nn_id, b.label AS nn_label, list_cosine_similarity(a.v, b.v) AS sim
+      FROM e a JOIN e b ON a.vec_id <> b.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY sim DESC, nn_id) AS rn FROM s)"""
+
+
+def _emb(spark, sf):
+    return table(spark, sf, "embeddings")
+
+
+def _loo(spark, sf, k):
+    e = _emb(spark, sf)
+    b = e.select(F.col("vec_id").alias("nn_id"), F.col("label").alias("nn_label"), F.col("embedding").alias("bv"))
+    return V.nearest(e, ["vec_id"], "embedding", b, "nn_id", "bv", ["nn_label"], k=k, exclude_self="vec_id")
+
+
+@register("q_cosine_top1", f"""
+WITH {_NN}
+SELECT vec_id, nn_id, nn_label, round(sim, 6) AS similarity FROM r WHERE rn = 1""")
+def q_cosine_top1(spark, sf):
+    return _loo(spark, sf, 1).select("vec_id", "nn_id", "nn_label", F.round("similarity", 6).alias("similarity"))
+
+
+@register("q_cosine_topk", f"""
+WITH {_NN}
+SELECT vec_id, CAST(rn AS INTEGER) AS rank, nn_id, round(sim, 6) AS similarity FROM r WHERE rn <= 3""")
+def q_cosine_topk(spark, sf):
+    return _loo(spark, sf, 3).select("vec_id", "rank", "nn_id", F.round("similarity", 6).alias("similarity"))
+
+
+def _voters(spark, sf):
+    """Three deterministic voters per embedding: nearest centroid (all dims), nearest
+    neighbour (leave-one-out), nearest centroid on the first 32 dims."""
+    e = _emb(spark, sf)
+    c_all = V.centroids(e, "label", "embedding").withColumnRenamed("label", "c_label")
+    c_32 = V.centroids(e, "label", "embedding", dims=32).withColumnRenamed("label", "c_label")
+    v1 = V.nearest(e, ["vec_id"], "embedding", c_all, "c_label", "centroid")
+    e32 = e.select("vec_id", F.slice("embedding", 1, 32).alias("e32"))
+    v3 = V.nearest(e32, ["vec_id"], "e32", c_32, "c_label", "centroid")
+    v2 = _loo(spark, sf, 1)
+    votes = (v1.select("vec_id", F.lit(1).alias("pos"), F.col("c_label").alias("label"))
+             .unionByName(v2.select("vec_id", F.lit(2).alias("pos"), F.col("nn_label").alias("label")))
+             .unionByName(v3.select("vec_id", F.lit(3).alias("pos"), F.col("c_label").alias("label"))))
+    conf = v1.select("vec_id", F.col("similarity").alias("confidence"))
+    return votes, conf
+
+
+_CENT = """cx AS (SELECT label, unnest(generate_series(1, len(v))) AS pos, unnest(v) AS x FROM e),
+c_all AS (SELECT label, list(x ORDER BY pos) AS c FROM (SELECT label, pos, avg(x) AS x FROM cx GROUP BY label, pos) GROUP BY label),
+c_32 AS (SELECT label, list(x ORDER BY pos) AS c FROM (SELECT label, pos, avg(x) AS x FROM cx WHERE pos <= 32 GROUP BY label, pos) GROUP BY label),
+v1s AS (SELECT e.vec_id, c.label, list_cosine_similarity(e.v, c.c) AS sim,
+          row_number() OVER (PARTITION BY e.vec_id ORDER BY list_cosine_similarity(e.v, c.c) DESC, c.label) AS rn FROM e, c_all c),
+v3s AS (SELECT e.vec_id, c.label, row_number() OVER (PARTITION BY e.vec_id ORDER BY list_cosine_similarity(e.v[1:32], c.c) DESC, c.label) AS rn FROM e, c_32 c),
+votes AS (SELECT vec_id, 1 AS pos, label FROM v1s WHERE rn = 1
+          UNION ALL SELECT vec_id, 2, nn_label FROM r WHERE rn = 1
+          UNION ALL SELECT vec_id, 3, label FROM v3s WHERE rn = 1),
+cnt AS (SELECT vec_id, label, count(*) AS n, min(pos) AS fp FROM votes GROUP BY vec_id, label),
+win AS (SELECT vec_id, label, n, row_number() OVER (PARTITION BY vec_id ORDER BY n DESC, fp) AS wn FROM cnt),
+maj AS (SELECT vec_id, CASE WHEN n >= 2 THEN label END AS label, CAST(n AS BIGINT) AS n_votes,
+               CASE WHEN n >= 2 THEN CAST(n AS VARCHAR) || '/3' ELSE '0/3' END AS agreement FROM win WHERE wn = 1)"""
+
+
+@register("q_vote_majority", f"""
+WITH {_NN},
+{_CENT}
+SELECT vec_id, label, n_votes, agreement FROM maj""")
+def q_vote_majority(spark, sf):
+    votes, _ = _voters(spark, sf)
+    return VO.majority(votes, "vec_id")
+
+
+@register("q_vote_floor", f"""
+WITH {_NN},
+{_CENT},
+cat AS (SELECT DISTINCT label FROM embeddings)
+SELECT m.vec_id, CASE WHEN m.label IS NOT NULL AND v.sim >= {max(R.DEFAULT_ALPHA, R.ENSEMBLE_FLOOR)} AND cat.label IS NOT NULL THEN m.label END AS label,
+       m.n_votes, round(v.sim, 3) AS confidence,
+       (m.label IS NOT NULL AND v.sim >= {max(R.DEFAULT_ALPHA, R.ENSEMBLE_FLOOR)} AND cat.label IS NOT NULL) AS hit
+FROM maj m JOIN v1s v ON v.vec_id = m.vec_id AND v.rn = 1 LEFT JOIN cat ON cat.label = m.label""")
+def q_vote_floor(spark, sf):
+    votes, conf = _voters(spark, sf)
+    maj = VO.majority(votes, "vec_id")
+    catalog = _emb(spark, sf).select("label")
+    return VO.with_floor(maj, "vec_id", conf, catalog=catalog).select("vec_id", "label", "n_votes", "confidence", "hit")
+
+
+@register("q_ml_ensemble")
+def q_ml_ensemble(spark, sf):
+    e = _emb(spark, sf)
+    return VO.ml_ensemble(e, e, "vec_id", "embedding", "label")
