@@ -413,3 +413,66 @@ def q_vote_floor(spark, sf):
 def q_ml_ensemble(spark, sf):
     e = _emb(spark, sf)
     return VO.ml_ensemble(e, e, "vec_id", "embedding", "label")
+
+
+# ── step 7: pricing ──────────────────────────────────────────────────────────
+
+from strata.operators import pricing as PR  # noqa: E402
+
+_TIER = PR.tier_sql("value / 1000")
+_PRICE_FEED = "purchase"
+
+
+@register("q_price_tier", f"""
+SELECT event_id, value / 1000 AS price, {_TIER[0]} AS tier, {_TIER[1]} AS alpha FROM events""")
+def q_price_tier(spark, sf):
+    e = table(spark, sf, "events")
+    t = PR.tier(F.col("value") / 1000)
+    return e.select("event_id", (F.col("value") / 1000).alias("price"), t["tier"].alias("tier"),
+                    t["alpha"].alias("alpha"))
+
+
+_ASOF_TIER = PR.tier_sql("asof_price")
+
+
+@register("q_price_asof", f"""
+WITH u AS (SELECT ts, 0 AS kind, event_id, value / 1000 AS price FROM events WHERE event_type = '{_PRICE_FEED}'
+           UNION ALL SELECT ts, 1, event_id, NULL FROM events),
+w AS (SELECT *, last_value(price IGNORE NULLS) OVER (ORDER BY ts, kind, event_id
+           ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS asof_price FROM u)
+SELECT event_id, asof_price, {_ASOF_TIER[0]} AS tier FROM w WHERE kind = 1""")
+def q_price_asof(spark, sf):
+    e = table(spark, sf, "events")
+    feed = e.filter(F.col("event_type") == _PRICE_FEED).select("ts", "event_id", (F.col("value") / 1000).alias("price"))
+    a = PR.asof(e.select("event_id", "ts"), feed, ["event_id"], bucket_seconds=3600)
+    return a.select("event_id", "asof_price", PR.tier("asof_price")["tier"].alias("tier"))
+
+
+_HOLD_S = 3600
+
+
+@register("q_price_hold", f"""
+WITH RECURSIVE ev AS (
+  SELECT event_type AS feed, event_id, epoch_us(ts) AS us, value / 1000 AS price,
+         row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS rn FROM events),
+tu AS (SELECT feed, us AS t, 0 AS kind, rn, CAST(NULL AS BIGINT) AS src FROM ev
+       UNION ALL SELECT feed, us + {_HOLD_S * 1_000_000}, -1, CAST(NULL AS BIGINT), rn FROM ev),
+nx AS (SELECT feed, src AS rn, nrn FROM (
+         SELECT feed, kind, src, min(rn) OVER (PARTITION BY feed ORDER BY t, kind
+                ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS nrn FROM tu) WHERE kind = -1),
+kept(feed, rn) AS (SELECT feed, rn FROM ev WHERE rn = 1
+  UNION ALL SELECT n.feed, n.nrn FROM kept k JOIN nx n ON n.feed = k.feed AND n.rn = k.rn WHERE n.nrn IS NOT NULL),
+u AS (SELECT ev.feed, ev.event_id, ev.rn, CASE WHEN k.rn IS NOT NULL THEN ev.price END AS kp, k.rn IS NOT NULL AS kept
+      FROM ev LEFT JOIN kept k ON k.feed = ev.feed AND k.rn = ev.rn)
+SELECT feed, event_id, kept,
+       last_value(kp IGNORE NULLS) OVER (PARTITION BY feed ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS held_price
+FROM u""")
+def q_price_hold(spark, sf):
+    e = table(spark, sf, "events").select(F.col("event_type").alias("feed"), "event_id", "ts",
+                                          (F.col("value") / 1000).alias("price"))
+    k = PR.sample_and_hold(e, "feed", "ts", "event_id", hold_seconds=_HOLD_S)
+    kept_feed = (e.join(k.filter("kept"), ["feed", "event_id"]).select("feed", "ts", "event_id", "price"))
+    held = PR.asof(e.select("feed", "event_id", "ts"), kept_feed, ["feed", "event_id"], by=["feed"],
+                   bucket_seconds=86400)
+    return (k.join(held, ["feed", "event_id"])
+            .select("feed", "event_id", "kept", F.col("asof_price").alias("held_price")))
