@@ -36,8 +36,12 @@ def any_contains_sql(t: str, phrases, mode: str = "compat") -> str:
 
 
 # F1 greeting gate: equals a greeting, or starts with greeting + " ".
-def greeting_text(col) -> Column:
-    return T.rstrip_chars(T.canon(col), "?!.")
+def _canon(col, canonical):
+    return canonical if canonical is not None else T.canon(col)
+
+
+def greeting_text(col, canonical: Column | None = None) -> Column:
+    return T.rstrip_chars(_canon(col, canonical), "?!.")
 
 
 def greeting_text_sql(e: str) -> str:
@@ -45,8 +49,8 @@ def greeting_text_sql(e: str) -> str:
 
 
 # F2 fact text: lower(strip(text)).rstrip('?'); facts are substrings of it.
-def fact_text(col) -> Column:
-    return T.rstrip_chars(T.canon(col), "?")
+def fact_text(col, canonical: Column | None = None) -> Column:
+    return T.rstrip_chars(_canon(col, canonical), "?")
 
 
 def fact_text_sql(e: str) -> str:
@@ -54,8 +58,9 @@ def fact_text_sql(e: str) -> str:
 
 
 # F3 conversion gate: a cue AND any unit name as substrings of lower(strip(text)).
-def conversion_gate(col) -> Column:
-    t = F.lower(T.py_strip(col))
+def conversion_gate(col, canonical: Column | None = None) -> Column:
+    # lower(strip(x)) equals strip(lower(x)), the canonical text
+    t = _canon(col, canonical)
     return any_contains(t, rules.CONVERSION_CUES) & any_contains(t, rules.conversion_units())
 
 
@@ -71,8 +76,8 @@ _OP_RE = r"[+\-*/^%()=]"
 _WORD_OP_RE = f"(?:^|{WS}){alt(rules.MATH_WORD_OPS)}(?:{WS}|\\z)"
 
 
-def math_gate(col) -> Column:
-    t = T.math_strip(col)
+def math_gate(col, canonical: Column | None = None) -> Column:
+    t = T.math_strip(col, canonical)
     has_func = t.rlike(_FUNC_RE) | _any(t.contains(s) for s in rules.MATH_SHORTHAND)
     has_digit = t.rlike(_DIGIT_RE)
     has_op = t.rlike(_OP_RE)
@@ -95,9 +100,11 @@ def math_gate_sql(e: str) -> str:
 _GK_OPS_RE = "[" + esc(rules.GK_OPERATOR_CHARS).replace("-", "\\-").replace("0123456789", "\\p{Nd}") + "]"
 
 
-def gk_parts(col, mode: str = "compat"):
-    """(deny, trigger, short_entity) columns; gate = !deny AND (trigger OR short_entity)."""
-    t = T.rstrip_chars(T.canon(col), "?.!")
+def gk_parts(col, mode: str = "compat", stripped: Column | None = None):
+    """(deny, trigger, short_entity) columns; gate = !deny AND (trigger OR short_entity).
+
+    ``stripped``: precomputed rstrip(canon(text), '?.!')."""
+    t = stripped if stripped is not None else T.rstrip_chars(T.canon(col), "?.!")
     deny = any_contains(t, rules.DOMAIN_KEYWORDS, mode)
     trig = any_contains(t, rules.GK_TRIGGERS, mode)
     n = T.word_count(t)
@@ -105,8 +112,8 @@ def gk_parts(col, mode: str = "compat"):
     return deny, trig, short
 
 
-def gk_gate(col, mode: str = "compat") -> Column:
-    deny, trig, short = gk_parts(col, mode)
+def gk_gate(col, mode: str = "compat", stripped: Column | None = None) -> Column:
+    deny, trig, short = gk_parts(col, mode, stripped)
     return ~deny & (trig | short)
 
 
@@ -138,8 +145,8 @@ _EXCL_RE = word_bounded(rules.KEYWORD_EXCLUSIONS)
 EXCLUSION_RE = _EXCL_RE
 
 
-def technical_exclusion(col) -> Column:
-    return T.canon(col).rlike(_EXCL_RE)
+def technical_exclusion(col, canonical: Column | None = None) -> Column:
+    return _canon(col, canonical).rlike(_EXCL_RE)
 
 
 def technical_exclusion_sql(e: str) -> str:
@@ -147,8 +154,8 @@ def technical_exclusion_sql(e: str) -> str:
 
 
 # F9 deep-model trigger.
-def deep_trigger(col) -> Column:
-    p = T.canon(col)
+def deep_trigger(col, canonical: Column | None = None) -> Column:
+    p = _canon(col, canonical)
     return any_contains(p, rules.DEEP_TRIGGERS) | (T.word_count(p) > rules.DEEP_WORD_LIMIT)
 
 

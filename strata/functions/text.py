@@ -50,8 +50,8 @@ def rstrip_chars_sql(e: str, chars: str) -> str:
 _TOPIC_RE = "^" + alt(rules.STRIP_PHRASES)
 
 
-def topic(col) -> Column:
-    t = rstrip_chars(canon(col), "?.!")
+def topic(col, canonical: Column | None = None) -> Column:
+    t = rstrip_chars(canonical if canonical is not None else canon(col), "?.!")
     return F.when(t.rlike(_TOPIC_RE), py_strip(F.regexp_replace(t, _TOPIC_RE, ""))).otherwise(t)
 
 
@@ -102,7 +102,7 @@ def shingles(col, k: int = rules.SHINGLE_K) -> Column:
 
 def shingles_sql(e: str, k: int = rules.SHINGLE_K) -> str:
     """List of distinct k-grams (order differs from Spark; compare as sets)."""
-    return f"list_distinct(list_transform(range(1, length({e}) - {k} + 2), i -> substr({e}, CAST(i AS INTEGER), {k})))"
+    return f"list_distinct(list_transform(range(1, length({e}) - {k} + 2), lambda i: substr({e}, CAST(i AS INTEGER), {k})))"
 
 
 # P10 first number of a text as double.
@@ -143,8 +143,8 @@ def disambiguation(summary, topic_col, title) -> Column:
 
 
 def disambiguation_sql(s: str, t: str, title: str) -> str:
-    keep = (f"list_filter(list_transform(string_split({s}, chr(10)), l -> {py_strip_sql('l')}), "
-            f"l -> l <> '' AND NOT starts_with(lower(l), {t}) AND NOT contains(lower(l), 'refer to:'))")
+    keep = (f"list_filter(list_transform(string_split({s}, chr(10)), lambda l: {py_strip_sql('l')}), "
+            f"lambda l: l <> '' AND NOT starts_with(lower(l), {t}) AND NOT contains(lower(l), 'refer to:'))")
     return (f"CASE WHEN contains(lower(substr({s}, 1, 80)), 'may refer to:') AND len({keep}) > 0 "
             f"THEN '**' || {title} || '**' || chr(10) || chr(10) || array_to_string({keep}[1:3], chr(10)) END")
 
@@ -163,9 +163,9 @@ _LN_RE = f"(^|[^{WORD_CHARS}])ln\\("
 BACKREF1 = "'\\1'"
 
 
-def math_strip(col) -> Column:
+def math_strip(col, canonical: Column | None = None) -> Column:
     """lower/strip/rstrip('?'), then drop the first math trigger, then strip."""
-    t = rstrip_chars(canon(col), "?")
+    t = rstrip_chars(canonical if canonical is not None else canon(col), "?")
     return F.when(t.rlike(MATH_TRIGGER_RE), py_strip(F.regexp_replace(t, MATH_TRIGGER_RE, "$1"))).otherwise(t)
 
 

@@ -476,3 +476,145 @@ def q_price_hold(spark, sf):
                    bucket_seconds=86400)
     return (k.join(held, ["feed", "event_id"])
             .select("feed", "event_id", "kept", F.col("asof_price").alias("held_price")))
+
+
+# ── steps 9-11: knowledge, cascade, stats ────────────────────────────────────
+
+from strata.operators import knowledge as KN  # noqa: E402
+from strata.plans import cascade as CA  # noqa: E402
+
+
+@register("q_summary", f"""
+SELECT doc_id, {T.summary_trim_sql('text')} AS summary,
+       {T.disambiguation_sql('text', T.rstrip_chars_sql(T.canon_sql("split_part(text, chr(10), 1)"), '?.!'), "split_part(text, chr(10), 1)")} AS disambiguation
+FROM documents""")
+def q_summary(spark, sf):
+    d = table(spark, sf, "documents")
+    first = F.substring_index("text", "\n", 1)
+    return d.select("doc_id", T.summary_trim("text").alias("summary"),
+                    T.disambiguation(F.col("text"), T.rstrip_chars(T.canon(first), "?.!"), first).alias("disambiguation"))
+
+
+def _knowledge(spark, sf):
+    return KN.from_pages(table(spark, sf, "pages")).unionByName(KN.from_documents(table(spark, sf, "documents")))
+
+
+@register("q_topic_join", f"""
+WITH kb AS {KN.best_sql()},
+x AS (SELECT conv_id, turn, {P.gk_gate_sql('query')} AS gk, {T.topic_sql('query')} AS topic FROM {U})
+SELECT x.conv_id, x.turn, x.topic, kb.source_rank, kb.doc_key, kb.summary
+FROM x LEFT JOIN kb ON x.gk AND x.topic <> '' AND kb.topic = x.topic
+WHERE x.gk""")
+def q_topic_join(spark, sf):
+    k = KN.lookup(user_turns(spark, sf), "query", _knowledge(spark, sf))
+    return k.filter("gk_gate").select("conv_id", "turn", "topic", "source_rank", "doc_key", "summary")
+
+
+def _bank(spark, sf):
+    b = table(spark, sf, "benchmark")
+    return b.select(F.col("item_id").alias("bank_id"), "text", F.concat(F.lit("item-"), F.col("item_id")).alias("label"))
+
+
+def _current_tier(spark, sf):
+    """Alpha and tier of the latest price of the feed (one aggregated scalar)."""
+    e = table(spark, sf, "events").filter(F.col("event_type") == _PRICE_FEED)
+    row = e.agg(F.max_by(F.col("value") / 1000, F.struct("ts", "event_id")).alias("p")).first()
+    price = row["p"] if row and row["p"] is not None else None
+    if price is None:
+        return R.DEFAULT_ALPHA, R.DEFAULT_TIER
+    for name, mx, alpha, _, _ in R.PRICE_TIERS:
+        if price <= mx:
+            return alpha, name
+    return R.PRICE_TIERS[-1][2], R.PRICE_TIERS[-1][0]
+
+
+def decisions(spark, sf):
+    alpha, tier_name = _current_tier(spark, sf)
+    return CA.route(user_turns(spark, sf), ["conv_id", "turn"], "query", bank=_bank(spark, sf),
+                    knowledge=_knowledge(spark, sf), completions=assistant_replies(spark, sf),
+                    alpha=alpha, price_tier=tier_name)
+
+
+_H0 = handler.handle_sql("query", R.greeting_rules(), R.fact_rules())
+_LATEST = (f"(SELECT max_by(value / 1000, (ts, event_id)) FROM events WHERE event_type = '{_PRICE_FEED}')")
+_LT = PR.tier_sql(_LATEST)
+_LATER = {"0A": ["0B", "1", "2", "3", "4", "5"], "0B": ["1", "2", "3", "4", "5"], "1": ["2", "3", "4", "5"],
+          "2": ["3", "4", "5"], "3": ["4", "5"], "4": ["5"]}
+_STEPS_SQL = "concat_ws(',', " + ", ".join(
+    f"CASE WHEN layer = '{l}' THEN '{l}:HIT' WHEN layer IN ({', '.join(repr(x) for x in later)}) THEN '{l}:SKIP' END"
+    for l, later in _LATER.items()) + ", CASE WHEN layer = '5' THEN '5:INVOKED' END)"
+_PT = T.word_count_sql("query")
+_CT = T.word_count_sql("coalesce(answer, '')")
+_CASCADE_SQL = f"""
+WITH {_MH_BANK},
+{_MH_PROBE},
+{_CAND},
+sim AS (SELECT c.pid, c.bid, count(*) / CAST({MH.NUM_PERM} AS DOUBLE) AS sim
+        FROM cand c JOIN ps p ON p.id = c.pid JOIN bs b ON b.id = c.bid AND b.slot = p.slot AND b.m = p.m
+        GROUP BY c.pid, c.bid),
+mh AS (SELECT pid, bid, round_even(sim, 3) AS similarity FROM (
+        SELECT pid, bid, sim, row_number() OVER (PARTITION BY pid ORDER BY sim DESC, bid) AS rn FROM sim) WHERE rn = 1),
+kw AS ({keyword.classify_sql(USER_TURNS_SQL, ["conv_id", "turn"], "query", R.keyword_rules())}),
+kb AS {KN.best_sql()},
+x AS (SELECT conv_id, turn, query, {_H0['h0a_kind']} AS h0a_kind, {_H0['h0a_rule']} AS h0a_rule,
+             {P.gk_gate_sql('query')} AS gk, {T.topic_sql('query')} AS topic FROM {U}),
+y AS (SELECT x.*, kw.kw_hit, kw.kw_label, kw.kw_confidence, kb.summary, kb.source_rank,
+             mh.bid AS match_id, mh.similarity, a.answer
+      FROM x JOIN kw ON kw.conv_id = x.conv_id AND kw.turn = x.turn
+      LEFT JOIN kb ON x.gk AND x.topic <> '' AND kb.topic = x.topic
+      LEFT JOIN mh ON mh.pid = x.conv_id || ':' || x.turn
+      LEFT JOIN ({ASSISTANT_REPLIES_SQL}) a ON a.conv_id = x.conv_id AND a.turn = x.turn),
+z AS (SELECT *, CASE WHEN h0a_kind IS NOT NULL THEN '0A' WHEN summary IS NOT NULL THEN '0B' WHEN kw_hit THEN '1'
+                     WHEN match_id IS NOT NULL THEN '2' ELSE '5' END AS layer,
+             {_SEL[0]} AS sel_provider, {_SEL[1]} AS sel_model FROM y)
+SELECT conv_id, turn, layer,
+  CASE WHEN layer = '0A' THEN h0a_kind WHEN layer = '0B' THEN CASE WHEN source_rank = 1 THEN 'pages' ELSE 'documents' END
+       WHEN layer = '1' THEN 'tinyml' WHEN layer = '2' THEN 'cache' WHEN answer IS NOT NULL THEN sel_provider ELSE 'error' END AS handled_by,
+  CASE WHEN layer = '0A' THEN h0a_rule WHEN layer = '1' THEN kw_label WHEN layer = '2' THEN 'item-' || match_id END AS label,
+  layer <> '5' AS cost_saved,
+  CASE WHEN layer IN ('0A', '0B') THEN 1.0 WHEN layer = '1' THEN kw_confidence WHEN layer = '2' THEN similarity
+       WHEN answer IS NOT NULL THEN 1.0 ELSE 0.0 END AS confidence,
+  {_LT[1]} AS alpha, {_LT[0]} AS price_tier,
+  CASE WHEN layer = '5' AND answer IS NOT NULL THEN sel_provider END AS provider,
+  CASE WHEN layer = '5' AND answer IS NOT NULL THEN sel_model END AS model,
+  CASE WHEN layer = '5' AND answer IS NOT NULL THEN {_PT} + {_CT} END AS tokens,
+  CASE WHEN layer = '5' AND answer IS NOT NULL THEN
+       CASE WHEN sel_provider = 'gemini' THEN {providers.flat_cost_sql(_PT + ' + ' + _CT)}
+            ELSE {providers.split_cost_sql(_PT, _CT)} END END AS cost,
+  {_STEPS_SQL} AS steps
+FROM z"""
+
+_CASCADE_COLS = ["conv_id", "turn", "layer", "handled_by", "label", "cost_saved", "confidence", "alpha",
+                 "price_tier", "provider", "model", "tokens", "cost", "steps"]
+
+
+@register("q_cascade", _CASCADE_SQL)
+def q_cascade(spark, sf):
+    return decisions(spark, sf).select(*_CASCADE_COLS)
+
+
+@register("q_stats", f"""
+WITH d AS ({_CASCADE_SQL})
+SELECT count(*) AS total, count(*) FILTER (WHERE cost_saved) AS local, count(*) FILTER (WHERE NOT cost_saved) AS llm,
+       count(*) FILTER (WHERE cost_saved) * {R.BASELINE_COST_PER_QUERY} AS saved,
+       round(sum(CASE WHEN NOT cost_saved THEN coalesce(cost, {R.DEFAULT_LLM_COST}) END), 6) AS spent,
+       round(count(*) FILTER (WHERE cost_saved) / greatest(count(*), 1) * 100, 1) AS local_rate
+FROM d""".replace(f"* {R.BASELINE_COST_PER_QUERY} AS saved", f"* CAST({R.BASELINE_COST_PER_QUERY} AS DOUBLE) AS saved")
+          .replace(f"coalesce(cost, {R.DEFAULT_LLM_COST})", f"coalesce(cost, CAST({R.DEFAULT_LLM_COST} AS DOUBLE))"))
+def q_stats(spark, sf):
+    return CA.stats(decisions(spark, sf))
+
+
+_LAYER_VALUES = ", ".join(f"({i}, '{l}')" for i, (l, _, _) in enumerate(R.LAYERS))
+
+
+@register("q_layer_counts", f"""
+WITH d AS ({_CASCADE_SQL}),
+l AS (SELECT * FROM (VALUES {_LAYER_VALUES}) t(layer_ord, layer))
+SELECT CAST(l.layer_ord AS INTEGER) AS layer_ord, l.layer, CAST(count(d.layer) AS BIGINT) AS n
+FROM l LEFT JOIN d ON d.layer = l.layer GROUP BY l.layer_ord, l.layer""")
+def q_layer_counts(spark, sf):
+    return CA.layer_counts(decisions(spark, sf))
+
+
+FLAGSHIP = "q_layer_counts"
