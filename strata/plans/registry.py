@@ -618,3 +618,150 @@ def q_layer_counts(spark, sf):
 
 
 FLAGSHIP = "q_layer_counts"
+
+
+# ── step 11: trace analytics over the event log ──────────────────────────────
+# events is read as a trace log: event_type = layer, value = latency in ms,
+# 'purchase' rows are billed LLM calls (cost = value / 1000), the rest are local.
+
+from strata.sources import traces as TR  # noqa: E402
+
+
+@register("q_last_n", """
+SELECT event_id, ts, event_type, value FROM events ORDER BY ts DESC, event_id DESC LIMIT 30""")
+def q_last_n(spark, sf):
+    e = table(spark, sf, "events").select("event_id", "ts", "event_type", "value")
+    return TR.last_n(e, ["ts", "event_id"], 30)
+
+
+@register("q_recent_per_user", """
+SELECT user_id, event_id, CAST(rn AS INTEGER) AS rn FROM (
+  SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events)
+WHERE rn <= 50""")
+def q_recent_per_user(spark, sf):
+    e = table(spark, sf, "events").select("user_id", "event_id", "ts")
+    return TR.newest_per_group(e, "user_id", ["ts", "event_id"], 50).select("user_id", "event_id",
+                                                                           F.col("rn").cast("int").alias("rn"))
+
+
+@register("q_running", f"""
+SELECT event_id,
+  CAST(count(*) OVER w AS BIGINT) AS run_total,
+  CAST(sum(CASE WHEN event_type <> '{_PRICE_FEED}' THEN 1 ELSE 0 END) OVER w AS BIGINT) AS run_local,
+  round(sum(CASE WHEN event_type = '{_PRICE_FEED}' THEN value / 1000 ELSE 0.0 END) OVER w, 6) AS run_spent
+FROM events
+WINDOW w AS (ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
+def q_running(spark, sf):
+    e = table(spark, sf, "events")
+    r = TR.running_totals(e, "ts", ["ts", "event_id"], {
+        "run_total": F.lit(1).cast("long"),
+        "run_local": F.when(F.col("event_type") != _PRICE_FEED, 1).otherwise(0).cast("long"),
+        "run_spent": F.when(F.col("event_type") == _PRICE_FEED, F.col("value") / 1000).otherwise(F.lit(0.0)),
+    })
+    return r.select("event_id", "run_total", "run_local", F.round("run_spent", 6).alias("run_spent"))
+
+
+@register("q_latency", """
+SELECT event_type AS layer, CAST(date_trunc('day', ts) AS DATE) AS day, CAST(count(*) AS BIGINT) AS n,
+       round(avg(value), 6) AS avg_ms, min(value) AS min_ms, max(value) AS max_ms
+FROM events GROUP BY event_type, date_trunc('day', ts)""")
+def q_latency(spark, sf):
+    e = table(spark, sf, "events")
+    return (e.groupBy(F.col("event_type").alias("layer"), F.to_date(F.date_trunc("day", "ts")).alias("day"))
+            .agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 6).alias("avg_ms"),
+                 F.min("value").alias("min_ms"), F.max("value").alias("max_ms")))
+
+
+@register("q_label_profile", """
+SELECT label, CAST(count(*) AS BIGINT) AS n, CAST((SELECT count(DISTINCT label) FROM embeddings) AS BIGINT) AS n_classes
+FROM embeddings GROUP BY label""")
+def q_label_profile(spark, sf):
+    e = table(spark, sf, "embeddings")
+    g = e.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    from pyspark.sql import Window
+    return g.withColumn("n_classes", F.count(F.lit(1)).over(Window.partitionBy()).cast("long"))
+
+
+@register("q_trace_roundtrip", f"""
+WITH d AS ({_CASCADE_SQL})
+SELECT CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR) AS query_key, layer, handled_by, cost_saved, tokens, cost
+FROM d""")
+def q_trace_roundtrip(spark, sf):
+    """S1 append + S2 scan: decisions written as JSON traces to the shared folder, read back."""
+    import uuid
+    from strata.session import scratch_path
+    path = scratch_path(spark, f"traces-{uuid.uuid4().hex}")
+    TR.clear_traces(spark, path)
+    TR.write_traces(TR.to_traces(decisions(spark, sf), ["conv_id", "turn"], user_turns(spark, sf)), path)
+    t = TR.read_traces(spark, path)
+    return t.filter(F.col(TR.CORRUPT).isNull() & F.col("query_key").isNotNull()).select(
+        "query_key", "layer", "handled_by", "cost_saved", "tokens", "cost")
+
+
+# ── step 12: evaluation ──────────────────────────────────────────────────────
+
+from strata.plans import evaluate as EV  # noqa: E402
+
+_LANG = {"en": "english", "de": "german", "fr": "french", "es": "spanish"}
+_LANG_CASE = "CASE lang " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _LANG.items()) + " END"
+_CASES_SQL = "SELECT d.doc_id, d.text, d.lang, 1 + l.quality + l.toxic AS weight FROM documents d JOIN labels l ON l.doc_id = d.doc_id"
+
+
+def _eval_results(spark, sf):
+    """Cases: labelled documents; the system under test is the keyword classifier with the
+    language rules; a case passes when it names the document's language.  Weight 1 + quality + toxic."""
+    d = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id")
+    rules_df = spark.createDataFrame(tuned_keyword_rows(), keyword.RULE_SCHEMA)
+    k = keyword.classify(d.select("doc_id", "text", "lang", (1 + F.col("quality") + F.col("toxic")).alias("weight")),
+                         "text", rules_df)
+    expected = F.create_map(*[F.lit(x) for kv in _LANG.items() for x in kv])[F.col("lang")]
+    return k.select("doc_id", F.col("lang").alias("category"), "weight",
+                    F.coalesce(F.col("kw_label") == expected, F.lit(False)).alias("passed"))
+
+
+_EVAL_SQL = f"""ev AS (
+  SELECT c.doc_id, c.lang AS category, c.weight,
+         coalesce(k.kw_label = (SELECT {_LANG_CASE} FROM (SELECT c.lang AS lang)), FALSE) AS passed
+  FROM ({_CASES_SQL}) c JOIN ({keyword.classify_sql(_CASES_SQL, ['doc_id'], 'text', tuned_keyword_rows())}) k
+  ON k.doc_id = c.doc_id)"""
+
+
+@register("q_scorecard", f"""
+WITH {_EVAL_SQL}
+SELECT category, CAST(count(*) AS BIGINT) AS total, CAST(count(*) FILTER (WHERE passed) AS BIGINT) AS passed,
+       CAST(sum(weight) AS BIGINT) AS weight, CAST(sum(CASE WHEN passed THEN weight ELSE 0 END) AS BIGINT) AS earned,
+       ((CAST(sum(CASE WHEN passed THEN weight ELSE 0 END) AS BIGINT) * 2000 + CAST(sum(weight) AS BIGINT))
+         // (CAST(sum(weight) AS BIGINT) * 2)) / 10.0 AS pct
+FROM ev GROUP BY category""")
+def q_scorecard(spark, sf):
+    return EV.scorecard(_eval_results(spark, sf))
+
+
+@register("q_final_score", f"""
+WITH {_EVAL_SQL},
+b AS (SELECT avg(value) AS avg_ms FROM events WHERE event_type = 'click')
+SELECT CAST(sum(weight) AS BIGINT) AS total_weight, CAST(sum(CASE WHEN passed THEN weight ELSE 0 END) AS BIGINT) AS earned,
+       CAST((SELECT CASE WHEN avg_ms < {R.EVAL_BURST_FAST_MS} THEN {R.EVAL_BURST_FAST_POINTS} ELSE {R.EVAL_BURST_OK_POINTS} END FROM b) AS INTEGER) AS burst_points,
+       round(CAST(sum(CASE WHEN passed THEN weight ELSE 0 END) AS DOUBLE) / sum(weight) * {R.EVAL_FUNCTIONAL_POINTS}
+             + (SELECT CASE WHEN avg_ms < {R.EVAL_BURST_FAST_MS} THEN {R.EVAL_BURST_FAST_POINTS} ELSE {R.EVAL_BURST_OK_POINTS} END FROM b), 1) AS score
+FROM ev""")
+def q_final_score(spark, sf):
+    avg_ms = table(spark, sf, "events").filter(F.col("event_type") == "click").agg(F.avg("value")).first()[0]
+    return EV.final_score(_eval_results(spark, sf), F.lit(True), F.lit(avg_ms if avg_ms is not None else 0.0))
+
+
+@register("q_cv_accuracy")
+def q_cv_accuracy(spark, sf):
+    """3-fold accuracy of a logistic model on the embeddings (mean and std over folds)."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.functions import array_to_vector
+
+    def fit_predict(train, test):
+        tr = train.select(array_to_vector(F.col("embedding").cast("array<double>")).alias("features"),
+                          F.col("label").cast("double").alias("y"))
+        m = LogisticRegression(featuresCol="features", labelCol="y", maxIter=100).fit(tr)
+        te = test.select("vec_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
+        return m.transform(te).select("vec_id", F.col("prediction").cast("int").alias("prediction"))
+
+    folds = EV.cv_accuracy(_emb(spark, sf), "vec_id", "label", fit_predict)
+    return folds.agg(F.avg("accuracy").alias("mean_accuracy"), F.stddev_pop("accuracy").alias("std_accuracy"))
