@@ -765,3 +765,46 @@ def q_cv_accuracy(spark, sf):
 
     folds = EV.cv_accuracy(_emb(spark, sf), "vec_id", "label", fit_predict)
     return folds.agg(F.avg("accuracy").alias("mean_accuracy"), F.stddev_pop("accuracy").alias("std_accuracy"))
+
+
+# ── J13 containment ──────────────────────────────────────────────────────────
+
+from strata.operators import lookup as LK  # noqa: E402
+
+
+@register("q_containment", f"""
+WITH d AS (SELECT doc_id, {T.canon_sql('text')} AS t FROM documents),
+b AS (SELECT item_id, {T.canon_sql('text')} AS t FROM benchmark)
+SELECT d.doc_id, min(b.item_id) AS match_key
+FROM d JOIN b ON contains(d.t, b.t) OR contains(b.t, d.t)
+GROUP BY d.doc_id""")
+def q_containment(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", T.canon("text").alias("t"))
+    b = table(spark, sf, "benchmark").select("item_id", T.canon("text").alias("t"))
+    return LK.first_containment(d, "doc_id", "t", b, "item_id", "t")
+
+
+# ── step 14: arithmetic templates ────────────────────────────────────────────
+
+from strata.operators import arith as AR  # noqa: E402
+
+
+def _expressions(spark, sf):
+    """Expression strings built from lineitem numbers; the shape depends on the return flag."""
+    li = table(spark, sf, "lineitem")
+    q, p, d, t = (F.col(c).cast("string") for c in ["l_quantity", "l_extendedprice", "l_discount", "l_tax"])
+    e = (F.when(F.col("l_returnflag") == "A", F.concat(F.lit("("), q, F.lit(" + "), t, F.lit(") * "), p))
+         .when(F.col("l_returnflag") == "N", F.concat(q, F.lit(" * "), p, F.lit(" - "), d))
+         .otherwise(F.concat(p, F.lit(" / "), q, F.lit(" + "), t)))
+    return li.select("l_orderkey", "l_linenumber", e.alias("expr"))
+
+
+@register("q_arith_templates", """
+SELECT l_orderkey, l_linenumber,
+  CASE WHEN l_returnflag = 'A' THEN '(#+#)*#' WHEN l_returnflag = 'N' THEN '#*#-#' ELSE '#/#+#' END AS template,
+  CASE WHEN l_returnflag = 'A' THEN (l_quantity + l_tax) * l_extendedprice
+       WHEN l_returnflag = 'N' THEN l_quantity * l_extendedprice - l_discount
+       ELSE l_extendedprice / nullif(l_quantity, 0) + l_tax END AS value
+FROM lineitem""")
+def q_arith_templates(spark, sf):
+    return AR.evaluate(_expressions(spark, sf), "expr").select("l_orderkey", "l_linenumber", "template", "value")
