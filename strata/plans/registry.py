@@ -808,3 +808,27 @@ SELECT l_orderkey, l_linenumber,
 FROM lineitem""")
 def q_arith_templates(spark, sf):
     return AR.evaluate(_expressions(spark, sf), "expr").select("l_orderkey", "l_linenumber", "template", "value")
+
+
+# ── step 13: streaming ───────────────────────────────────────────────────────
+
+import os as _os  # noqa: E402
+
+from strata.streaming import route_stream as RS  # noqa: E402
+
+
+@register("q_stream_layer_counts", ORACLE["q_layer_counts"])
+def q_stream_layer_counts(spark, sf):
+    """Stream = batch: the streamed cascade's per-layer counts equal the batch cascade's."""
+    conv = table(spark, sf, "conversations")
+    # A file stream watches a folder; the glob selects the one table file inside it.
+    src = (spark.readStream.schema(conv.schema).parquet(_os.path.join(sf, "conversations.parque[t]"))
+           .filter(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("query")))
+    alpha, tier_name = _current_tier(spark, sf)
+    out = RS.route_stream(spark, src, ["conv_id", "turn"], "query", _bank(spark, sf),
+                          completions=assistant_replies(spark, sf), knowledge=_knowledge(spark, sf),
+                          alpha=alpha, price_tier=tier_name)
+    dec_schema = spark.read.parquet(out).schema
+    counts = RS.running_layer_counts(spark, out, dec_schema)
+    layers = spark.createDataFrame([(i, l) for i, (l, _, _) in enumerate(R.LAYERS)], "layer_ord int, layer string")
+    return layers.join(counts, "layer", "left").select("layer_ord", "layer", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
