@@ -21,8 +21,13 @@ def _c(col) -> Column:
 
 
 # P1 canonical key: lower().strip()
+# Python's whitespace set as literal characters, for btrim/rtrim (no regex pass).
+PY_WS_SET = ("\t\n\x0b\x0c\r" + "".join(chr(c) for c in range(0x1C, 0x20)) + " \x85\xa0\u1680"
+             + "".join(chr(c) for c in range(0x2000, 0x200B)) + "\u2028\u2029\u202f\u205f\u3000")
+
+
 def canon(col) -> Column:
-    return F.regexp_replace(F.lower(_c(col)), _STRIP, "")
+    return F.btrim(F.lower(_c(col)), F.lit(PY_WS_SET))
 
 
 def canon_sql(e: str) -> str:
@@ -30,7 +35,7 @@ def canon_sql(e: str) -> str:
 
 
 def py_strip(col) -> Column:
-    return F.regexp_replace(_c(col), _STRIP, "")
+    return F.btrim(_c(col), F.lit(PY_WS_SET))
 
 
 def py_strip_sql(e: str) -> str:
@@ -39,7 +44,7 @@ def py_strip_sql(e: str) -> str:
 
 # P2 trailing punctuation strip: rstrip(chars)
 def rstrip_chars(col, chars: str) -> Column:
-    return F.regexp_replace(_c(col), "[" + esc(chars) + "]+\\z", "")
+    return F.rtrim(_c(col), F.lit(chars))
 
 
 def rstrip_chars_sql(e: str, chars: str) -> str:
