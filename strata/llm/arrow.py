@@ -40,7 +40,7 @@ def slices(column, limit: int = SLICE_BYTES):
 
 
 def append(df: DataFrame, fields: list[T.StructField], start, text: str = "text",
-           keep: list[str] | None = None) -> DataFrame:
+           keep: list[str] | None = None, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """``df`` (or its columns ``keep``) plus ``fields``, computed from the column ``text``.
 
     ``start()`` runs once per task and returns the kernel: a function from (bytes, offsets, batch) of
@@ -59,7 +59,7 @@ def append(df: DataFrame, fields: list[T.StructField], start, text: str = "text"
         kernel = start()
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(text))
-            for i, j in slices(column):
+            for i, j in slices(column, slice_bytes):
                 part = batch.slice(i, j - i)
                 data, offsets = text_buffers(part.column(part.schema.get_field_index(text)))
                 new = [pa.array(v, type=t) if not isinstance(v, pa.Array) else v.cast(t)

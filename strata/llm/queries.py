@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm import decontaminate
+from strata.llm import decontaminate, secrets, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -56,3 +56,48 @@ FROM w LEFT JOIN n USING (doc_id) LEFT JOIN t USING (doc_id)"""
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontaminate.verdicts(decontaminate.mark(docs, table(spark, sf_dir, "benchmark"))).drop("text")
+
+
+@register("op9_sharding")
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.assign(table(spark, sf_dir, "documents"))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+                         F.lit(None).cast("int").alias("grown_shard"))
+
+
+def secret_pattern(rule) -> str:
+    """The rule for DuckDB's regexes; group 1 is the tail."""
+    head = rule.head.replace("(?i:", "(?:").replace("(live|test)", "(?:live|test)")
+    if "(?i:" in rule.head:
+        first, rest = head.split(")", 1)
+        head = "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in first.removeprefix("(?:")) + ")" + rest
+        head = "(?:" + head
+    return f"{head}({rule.tail}+)".replace("'", "''")
+
+
+def op1_sql(documents: str = "documents") -> str:
+    kinds = " UNION ALL ".join(f"""
+  SELECT doc_id, {k} AS k, '{r.kind}' AS kind, {r.least} AS least, string_split_regex(t, '{secret_pattern(r)}') parts,
+         regexp_extract_all(t, '{secret_pattern(r)}') whole, regexp_extract_all(t, '{secret_pattern(r)}', 1) tail FROM d"""
+                               for k, r in enumerate(secrets.RULES))
+    base = "kind IN (" + ", ".join(f"'{r.kind}'" for r in secrets.BASE) + ")"
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') t FROM {documents}), m AS ({kinds}),
+u AS (SELECT doc_id, k, kind, least, parts, whole, tail, unnest(range(1, len(whole) + 1)) i FROM m),
+s AS (SELECT doc_id, k, kind, (list_sum(list_transform(parts[1:i], lambda x: length(x)))
+             + coalesce(list_sum(list_transform(whole[1:i - 1], lambda x: length(x))), 0))::bigint a, length(whole[i]) n
+      FROM u WHERE length(tail[i]) >= least),
+x AS (SELECT doc_id, count(*) FILTER (kind = 'assign') n_assign, count(*) FILTER (kind = 'access') n_access,
+             count(*) FILTER (kind = 'hex') n_hex,
+             string_agg(kind || ':' || a || ':' || (a + n), ',' ORDER BY a, k) FILTER ({base}) b,
+             string_agg(kind || ':' || a || ':' || (a + n), ',' ORDER BY a, k) spans FROM s GROUP BY 1)
+SELECT doc_id, coalesce(n_assign, 0)::bigint n_assign, coalesce(n_access, 0)::bigint n_access, coalesce(n_hex, 0)::bigint n_hex,
+       sha256(coalesce(b, '')) base_sha256, coalesce(spans, '') spans FROM d LEFT JOIN x USING (doc_id)"""
+
+
+@register("op1_secrets", op1_sql())
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = [r.kind for r in secrets.BASE]
+    return found.select("doc_id", *[secrets.count(k).alias(f"n_{k}") for k in base],
+                        F.sha2(secrets.digest(base), 256).alias("base_sha256"), secrets.digest().alias("spans"))
