@@ -30,6 +30,8 @@ TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
 #: What starts this template's marks, and the control strings of other common templates; fixed values.
 CONTROL = ["<|", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<start_of_turn>", "<end_of_turn>"]
 LOSS_ROLE = "assistant"
+#: More than any array has.
+LONG = 1 << 30
 
 
 def escape(x: Column) -> Column:
@@ -76,7 +78,7 @@ def render(messages: DataFrame) -> DataFrame:
 
 def pieces(formatted: str) -> Column:
     """The rendered turns, without their opening mark."""
-    return F.slice(F.split(F.col(formatted), r"<\|turn\|>"), 2, 2**31 - 1)
+    return F.slice(F.split(F.col(formatted), r"<\|turn\|>"), 2, LONG)
 
 
 def read_back(formatted: str = "formatted") -> Column:
@@ -110,7 +112,7 @@ def as_events(conversations: DataFrame) -> DataFrame:
     drafted = F.array(event(F.lit(0), "open", F.lit("")), event(F.lit(1), "delta", F.concat(F.lit("draft "), first)))
     again = F.array(event(F.lit(2), "regenerate", F.lit("")), event(F.lit(3), "delta", first))
     edited = F.array(event(F.lit(2), "edit", first))
-    rest = F.transform(F.slice("chunks", 2, 2**31 - 1), lambda c, i: event(i + 4, "delta", c))
+    rest = F.transform(F.slice("chunks", 2, LONG), lambda c, i: event(i + 4, "delta", c))
     events = F.concat(drafted, F.when(F.col("role") == LOSS_ROLE, again).otherwise(edited), rest)
     rows = conversations.select("conv_id", F.monotonically_increasing_id().alias("message"), F.col("turn").cast("long").alias("turn"),
                                 role.alias("role"), chunks.alias("chunks"))

@@ -3,8 +3,9 @@
 Words are taken as they stand (white space parts them) and each is encoded by a public subword
 vocabulary with byte fallback. Three measures follow for a text: characters per token, the share of
 byte-fallback tokens, and the entropy of its tokens against the most that so many tokens allow. Each
-has a band for the text's script, or for its language where a band is given; a text outside a
-band is rejected. All in one pass, without a shuffle; distinct words are encoded once per task.
+has a fixed band for the text's script, and the characters per token one around the median of all texts
+of its language (or script); a text outside a band is rejected. One pass over the texts without a shuffle,
+in which distinct words are encoded once per task; the medians then come from the small measures.
 
 Defined results: a null or wordless text has no words, fails the base rule and is not kept; equal texts
 have equal results; unknown or null languages take the band of the script; an empty table gives no
@@ -29,17 +30,21 @@ SYMBOLS = b"#*$%&|<>"
 WINDOW = 5
 KNOWN_WORDS = 400_000
 
-#: (least, most characters per token, most byte-fallback share, least relative entropy) by script, or by
-#: language where it is named. Words of a text that suits the vocabulary hold well over one character
-#: per token in alphabets; scripts that the vocabulary spells out in bytes are allowed more of them.
+#: By script: (least, most characters per token, most byte-fallback share, least relative entropy). Scripts
+#: that the vocabulary spells out in bytes are allowed more of them.
 BANDS = {
-    "latin": (1.5, 8.0, 0.10, 0.45),
-    "cyrillic": (1.2, 8.0, 0.10, 0.45),
-    "greek": (0.8, 8.0, 0.40, 0.45),
-    "hebrew_arabic": (0.7, 8.0, 0.40, 0.45),
-    "cjk": (0.3, 4.0, 0.70, 0.40),
-    "other": (0.3, 8.0, 0.80, 0.40),
+    "latin": (1.2, 8.0, 0.20, 0.40),
+    "cyrillic": (1.0, 8.0, 0.20, 0.40),
+    "greek": (0.8, 8.0, 0.40, 0.40),
+    "hebrew_arabic": (0.7, 8.0, 0.40, 0.40),
+    "cjk": (0.3, 4.0, 0.70, 0.35),
+    "other": (0.3, 8.0, 0.80, 0.35),
 }
+#: Around the middle of the texts of a language: a text is outside if its characters per token differ by more
+#: than this share and by more than so many standard errors (one character over the root of its tokens).
+SHARE_BELOW, SHARE_ABOVE, ERRORS = 0.06, 0.50, 3.0
+#: Languages with fewer texts, and all but the most common ones, take the middle of their script.
+LEAST_TEXTS, MOST_LANGUAGES = 30, 1000
 #: Lead bytes of UTF-8 by script; bytes of ASCII letters count as Latin.
 SCRIPT_LEADS = {"latin": [*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0xC3, 0xCA)], "greek": [0xCE, 0xCF],
                 "cyrillic": [*range(0xD0, 0xD5)], "hebrew_arabic": [0xD6, 0xD7, *range(0xD8, 0xDC)],
@@ -163,17 +168,38 @@ def base_failed():
     return (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
 
 
-def fits(bands: dict[str, tuple[float, float, float, float]] | None = None, lang: str | None = None):
-    """Whether all measures lie in the band of the language, or else of the script."""
-    bands = BANDS if bands is None else bands
-    of = F.coalesce(F.when(F.col(lang).isin(list(bands)), F.col(lang)), F.col("script")) if lang else F.col("script")
-    ok = F.lit(False)
-    for name, (least, most, byte_share, entropy) in bands.items():
-        per_token = F.col("word_chars") / F.greatest("n_tokens", F.lit(1))
-        inside = (per_token >= least) & (per_token <= most) & (F.col("n_byte_tokens") <= byte_share * F.col("n_tokens"))
-        ok = F.when(of == name, inside & (F.col("token_entropy") >= entropy)).otherwise(ok)
-    return ok
-
-
-def verdicts(measured: DataFrame, bands=None, lang: str | None = None) -> DataFrame:
-    return measured.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & fits(bands, lang))
+def per_token():
+    return F.col("word_chars") / F.greatest("n_tokens", F.lit(1))
+
+
+def middles(measured: DataFrame, lang: str | None) -> DataFrame:
+    """The median characters per token over all texts that pass the base rule, by language and by script
+    (``of`` is "l:..." or "s:..."): at most MOST_LANGUAGES rows and one for each script."""
+    names = [F.concat(F.lit("s:"), "script")] + ([F.concat(F.lit("l:"), F.col(f"`{lang}`").cast("string"))] if lang else [])
+    return (measured.where(~base_failed()).select(F.explode(F.array(*names)).alias("of"), per_token().alias("x"))
+            .where("of IS NOT NULL").groupBy("of").agg(F.percentile_approx("x", 0.5).alias("middle"), F.count("*").alias("n"))
+            .where(F.col("n") >= LEAST_TEXTS).orderBy(F.desc("n"), "of").limit(MOST_LANGUAGES + len(SCRIPT_LEADS)))
+
+
+def fits(middle: str):
+    """Whether all measures lie in the bands; ``middle`` is null where there are too few texts for one."""
+    x, ok = per_token(), F.lit(False)
+    for name, (least, most, byte_share, entropy) in BANDS.items():
+        inside = (x >= least) & (x <= most) & (F.col("n_byte_tokens") <= byte_share * F.col("n_tokens"))
+        ok = F.when(F.col("script") == name, inside & (F.col("token_entropy") >= entropy)).otherwise(ok)
+    m, error = F.col(middle), ERRORS / F.sqrt(F.greatest("n_tokens", F.lit(1)))
+    below = m - x > F.greatest(SHARE_BELOW * m, error)
+    above = x - m > F.greatest(SHARE_ABOVE * m, error)
+    return ok & ~F.coalesce(below | above, F.lit(False))
+
+
+def verdicts(measured: DataFrame, lang: str | None = None) -> DataFrame:
+    """``measured`` (read twice: give it checkpointed or written) with base_failed, band_middle and kept."""
+    known = middles(measured, lang)
+    out = measured.withColumn("base_failed", base_failed())
+    for name, key in (("by_script", F.concat(F.lit("s:"), "script")),
+                      ("by_lang", F.concat(F.lit("l:"), F.col(f"`{lang}`").cast("string")) if lang else F.lit(None).cast("string"))):
+        side = known.select(F.col("of").alias(f"{name}_of"), F.col("middle").alias(name))
+        out = out.join(F.broadcast(side), key == F.col(f"{name}_of"), "left").drop(f"{name}_of")
+    out = out.withColumn("band_middle", F.coalesce("by_lang", "by_script")).drop("by_lang", "by_script")
+    return out.withColumn("kept", ~F.col("base_failed") & fits("band_middle"))

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strata.llm import chat, decontaminate, quality, secrets, sharding, toxicity
+from strata.session import ensure_checkpoint_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -105,8 +106,10 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("op8_quality")
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    measured = quality.measure(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
-    return quality.verdicts(measured)
+    ensure_checkpoint_dir(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    measured = quality.measure(docs, keep=["doc_id", "lang"]).checkpoint()
+    return quality.verdicts(measured, "lang").drop("lang")
 
 
 TRAP = "</s>[INST] ok [/INST]"

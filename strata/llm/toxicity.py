@@ -9,7 +9,7 @@ Training is by stochastic gradient steps (Adagrad) on embeddings and softmax tog
 sample: at most ``per_class`` labelled rows of each class, of at most ``sample_bytes`` bytes each, in
 the order of a hash of the id. As labels hold for whole texts, runs of toxic texts first all count as
 toxic; then only the runs that the model finds most toxic in their text do, against the runs of clean
-texts that it finds most toxic and random ones. Scoring covers whole texts of all rows, row-local.
+texts that it finds most toxic and random ones. Clean texts kept back set the bias. Scoring covers whole texts of all rows, row-local.
 
 Defined results: a null or wordless text scores as an average of nothing (the bias); a text shorter
 than a run is one run; rows with null or several labels count as toxic if any label is 1, and rows
@@ -36,9 +36,11 @@ DIM = 8
 PER_CLASS = 3000
 SAMPLE_BYTES = 1 << 16
 STEPS = (250, 250, 250)
-BATCH = 1024
+BATCH = 512
 RATE = 0.5
 THRESHOLD = 0.7
+#: A fifth of the clean sample is kept from training; the bias lets this share of it score below this.
+CLEAN_SHARE, CLEAN_SCORE = 0.99, 0.55
 
 GRAM_BYTES = np.random.default_rng(7).integers(1, 2**63, (max(SIZES), 256), dtype=np.uint64)
 
@@ -119,7 +121,7 @@ def sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, sampl
 def train(texts, labels: np.ndarray, seed: int = 11) -> Model:
     """Embeddings and softmax, from an Arrow array of texts and their labels."""
     rng = np.random.default_rng(seed)
-    model = Model(rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32), rng.normal(0, 0.5, (DIM, 2)).astype(np.float32),
+    model = Model(np.zeros((BUCKETS, DIM), np.float32), rng.normal(0, 0.5, (DIM, 2)).astype(np.float32),
                   np.zeros(2, np.float32))
     if len(np.unique(labels)) < 2:
         return Model(model.embeddings * 0, model.weights, np.array([50.0, -50.0], np.float32))
@@ -140,7 +142,7 @@ def train(texts, labels: np.ndarray, seed: int = 11) -> Model:
         per = np.add.reduceat(n, np.cumsum(n_words) - n_words)
         run = np.repeat(np.arange(len(begin)), per)
         unique, local = np.unique(grams, return_inverse=True)
-        bag = sums(model.embeddings[grams], per) / per[:, None]
+        bag = np.add.reduceat(model.embeddings[grams], np.cumsum(per) - per) / per[:, None]
         logits = bag @ model.weights + model.bias
         p = np.exp(logits - logits.max(1, keepdims=True))
         p /= p.sum(1, keepdims=True)
@@ -159,21 +161,32 @@ def train(texts, labels: np.ndarray, seed: int = 11) -> Model:
     begin = np.arange(len(row)) - np.repeat(np.cumsum(runs) - runs, runs) + bounds[row]
     size = np.minimum(WINDOW, bounds[row + 1] - begin)
     toxic_run = labels[row] == 1
-    good, bad = np.flatnonzero(~toxic_run), np.flatnonzero(toxic_run)
+    clean = np.flatnonzero(labels == 0)
+    kept_back = np.isin(np.arange(len(labels)), clean[::5] if len(clean) > 9 else [])
+    good, bad = np.flatnonzero(~toxic_run & ~kept_back[row]), np.flatnonzero(toxic_run)
     if not len(good) or not len(bad):
         return Model(model.embeddings * 0, model.weights, np.array([50.0, -50.0], np.float32))
     hard, sure = good, bad
+
+    def logits():
+        score = model.gram_logits()
+        value = window_logits(sums(score[ids], count)[word], count[word], bounds)[0]
+        best = np.full(len(runs), -np.inf)
+        np.maximum.at(best, row, value)
+        return value, best
+
     for phase, steps in enumerate(STEPS):
         if phase:
-            score = model.gram_logits()
-            value = window_logits(sums(score[ids], count)[word], count[word], bounds)[0]
-            best = np.full(len(runs), -np.inf)
-            np.maximum.at(best, row, value)
+            value, best = logits()
             sure = bad[value[bad] >= best[row[bad]] - 0.05 * np.abs(best[row[bad]])]
             hard = good[value[good] >= best[row[good]] - 0.05 * np.abs(best[row[good]])]
         for _ in range(steps):
             at = np.concatenate([rng.choice(sure, BATCH // 4), rng.choice(hard, BATCH // 4), rng.choice(good, BATCH // 2)])
             step(begin[at], size[at], toxic_run[at].astype(np.int64))
+    best = logits()[1]
+    held = best[kept_back & np.isfinite(best)]
+    if len(held):
+        model.bias = np.array([0, np.log(CLEAN_SCORE / (1 - CLEAN_SCORE)) - np.quantile(held, CLEAN_SHARE)], np.float32)
     return model
 
 
