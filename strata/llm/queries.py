@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm import chat, decontaminate, quality, secrets, sharding, toxicity
+from strata.llm import chat, decontaminate, licenses, quality, secrets, sharding, toxicity
 from strata.session import ensure_checkpoint_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -154,3 +154,27 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
     return toxicity.score(docs, model, name="score").select(
         "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
+def op2_sql(documents: str = "documents") -> str:
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    templates = ", ".join(f"({quoted(i)}, [{', '.join(map(quoted, licenses.template_bigrams(t)))}])" for i, t in licenses.TEMPLATES)
+    return rf"""
+WITH t(id, tb) AS (VALUES {templates}),
+d AS (SELECT doc_id, coalesce(text, '') x FROM {documents}),
+p AS (SELECT doc_id, unnest(list_distinct([x] || string_split_regex(x, '
+[ 	]*
+') || string_split(x, chr(10)))) part FROM d),
+w AS (SELECT doc_id, string_split(trim(regexp_replace({lower_sql('part')}, '{licenses.OTHER}', ' ', 'g')), ' ') ws FROM p),
+b AS (SELECT doc_id, CASE WHEN len(ws) < 2 THEN ws ELSE list_transform(range(1, len(ws)), lambda k: ws[k] || ' ' || ws[k + 1]) END pb
+      FROM w WHERE ws[1] <> '' AND len(ws) <= 400),
+s AS (SELECT doc_id, id, 2.0::double * len(list_intersect(pb, tb)) / (len(pb) + len(tb)) dice FROM b, t),
+g AS (SELECT doc_id, string_agg(DISTINCT id, ',' ORDER BY id) licenses, arg_min(id, (-dice, id)) best_license, max(dice) best_dice
+      FROM s WHERE dice >= {licenses.THRESHOLD} GROUP BY doc_id)
+SELECT doc_id, coalesce(licenses, '') licenses, best_license, best_dice FROM d LEFT JOIN g USING (doc_id)"""
+
+
+@register("op2_licenses", op2_sql())
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.array_join("licenses", ",").alias("licenses"), "best_license", "best_dice")
