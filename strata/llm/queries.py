@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm import chat, decontaminate, licenses, quality, secrets, sharding, toxicity
+from strata.llm import chat, decontaminate, licenses, pieces, quality, secrets, sharding, toxicity
 from strata.session import ensure_checkpoint_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -163,7 +163,8 @@ def op2_sql(documents: str = "documents") -> str:
 WITH t(id, tb) AS (VALUES {templates}),
 d AS (SELECT doc_id, coalesce(text, '') x FROM {documents}),
 p AS (SELECT doc_id, unnest(list_distinct([x] || string_split_regex(x, '
-[ 	]*
+[ 	
+]*
 ') || string_split(x, chr(10)))) part FROM d),
 w AS (SELECT doc_id, string_split(trim(regexp_replace({lower_sql('part')}, '{licenses.OTHER}', ' ', 'g')), ' ') ws FROM p),
 b AS (SELECT doc_id, CASE WHEN len(ws) < 2 THEN ws ELSE list_transform(range(1, len(ws)), lambda k: ws[k] || ' ' || ws[k + 1]) END pb
@@ -178,3 +179,13 @@ SELECT doc_id, coalesce(licenses, '') licenses, best_license, best_dice FROM d L
 def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", F.array_join("licenses", ",").alias("licenses"), "best_license", "best_dice")
+
+
+@register("op7_sentencepiece")
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    back = pieces.decode(encoded)
+    return back.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"),
+                       F.size(F.filter("token_ids", pieces.is_byte_piece)).cast("long").alias("n_byte_tokens"),
+                       "token_ids", F.sha2("decoded", 256).alias("decoded_sha256"),
+                       (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("exact"))

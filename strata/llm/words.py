@@ -106,3 +106,33 @@ def grams(hashes: np.ndarray, k: int) -> np.ndarray:
     for j in range(k):
         out += hashes[j:j + n] * np.uint64(FACTORS[j])
     return mix(out + np.uint64(k))
+
+
+def ranges(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, ... (count[0] values), first[1], ..."""
+    return np.repeat(first - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+
+
+class Remembered:
+    """Id lists of byte spans by their hash; of at most ``limit`` distinct spans at a time."""
+
+    def __init__(self, encode, limit: int = 300_000):
+        self.encode, self.limit = encode, limit
+        self.row: dict[int, int] = {}
+        self.ids, self.size = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+
+    def look_up(self, data, starts, ends, hashes):
+        """(ids of all spans one after another, number of ids of each). ``encode(data, starts, ends)`` gives both for new ones."""
+        unique, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+        if len(self.row) + len(unique) > self.limit:
+            self.row, self.ids, self.size = {}, [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+        rows = np.fromiter((self.row.get(u, -1) for u in unique.tolist()), np.int64, len(unique))
+        new = np.flatnonzero(rows < 0)
+        if len(new):
+            ids, size = self.encode(data, starts[first[new]], ends[first[new]])
+            rows[new] = np.arange(len(self.row), len(self.row) + len(new))
+            self.row.update(zip(unique[new].tolist(), rows[new].tolist(), strict=True))
+            self.ids, self.size = [np.concatenate([*self.ids, ids])], [np.concatenate([*self.size, size])]
+        begin = (np.cumsum(self.size[0]) - self.size[0])[rows][which]
+        size = self.size[0][rows][which]
+        return self.ids[0][ranges(begin, size)], size
