@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm import chat, decontaminate, licenses, pieces, quality, secrets, sharding, toxicity
+from strata.llm import chat, decontaminate, licenses, ngram_join, pieces, quality, secrets, sharding, toxicity
 from strata.session import ensure_checkpoint_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -189,3 +189,8 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.size(F.filter("token_ids", pieces.is_byte_piece)).cast("long").alias("n_byte_tokens"),
                        "token_ids", F.sha2("decoded", 256).alias("decoded_sha256"),
                        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("exact"))
+
+
+@register("op4_ngram_join")
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join_components(table(spark, sf_dir, "documents"))

@@ -34,7 +34,7 @@ SIZES = (3, 4, 5)
 BUCKETS = 1 << 17
 DIM = 8
 PER_CLASS = 3000
-SAMPLE_BYTES = 1 << 16
+SAMPLE_BYTES = 1 << 15
 STEPS = (250, 250, 250)
 BATCH = 512
 RATE = 0.5
