@@ -186,7 +186,7 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"))
     back = pieces.decode(encoded)
     return back.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"),
-                       F.size(F.filter("token_ids", pieces.is_byte_piece)).cast("long").alias("n_byte_tokens"),
+                       F.size(F.filter("token_ids", lambda i: pieces.is_byte_piece(i))).cast("long").alias("n_byte_tokens"),
                        "token_ids", F.sha2("decoded", 256).alias("decoded_sha256"),
                        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("exact"))
 
