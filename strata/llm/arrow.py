@@ -7,6 +7,8 @@ partition; a text longer than the bound is a slice of its own.
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -68,3 +70,16 @@ def append(df: DataFrame, fields: list[T.StructField], start, text: str = "text"
                 yield pa.RecordBatch.from_arrays(old + new, names=kept + names)
 
     return source.mapInArrow(run, schema)
+
+
+def in_one_task(sample: DataFrame, function):
+    """``function`` of a bounded sample as an Arrow table, run in a single Python worker (as Spark gives it one
+    thread, numpy does not fight with other tasks for cores). Its result is pickled: plain arrays and tuples."""
+    schema = to_arrow_schema(sample.schema)
+
+    def run(batches):
+        result = function(pa.Table.from_batches([b.cast(schema) for b in batches], schema))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(result)], pa.binary())], names=["result"])
+
+    rows = sample.coalesce(1).mapInArrow(run, "result binary").collect()
+    return pickle.loads(rows[0]["result"]) if rows else function(schema.empty_table())

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm import chat, decontaminate, licenses, ngram_join, pieces, quality, secrets, sharding, toxicity
+from strata.llm import chat, decontaminate, licenses, lm, ngram_join, pieces, quality, secrets, sharding, toxicity
 from strata.session import ensure_checkpoint_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -194,3 +194,8 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op4_ngram_join")
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join_components(table(spark, sf_dir, "documents"))
+
+
+@register("op10_lm_score")
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))

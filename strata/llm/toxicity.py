@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strata.llm.arrow import append, text_buffers
+from strata.llm.arrow import append, in_one_task, text_buffers
 from strata.llm.words import ALNUM, LOWER, Tokenizer, mix
 
 WINDOW = 8
@@ -107,15 +107,13 @@ def window_logits(total, n, bounds, size: int = WINDOW):
     return (t[end] - t[at]) / np.maximum(c[end] - c[at], 1), row, at
 
 
-def sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, sample_bytes: int = SAMPLE_BYTES):
-    """(texts, labels) to learn from: a bounded sample of rows that both tables have."""
+def sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, sample_bytes: int = SAMPLE_BYTES) -> DataFrame:
+    """(text, toxic) to learn from: a bounded sample of rows that both tables have."""
     known = (labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
              .where(F.crc32(F.col("doc_id").cast("string")) % 3 != 1))
     ids = [known.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for c in (0, 1)]
-    rows = (docs.select("doc_id", "text").where(F.octet_length("text") <= sample_bytes)
+    return (docs.select("doc_id", "text").where(F.octet_length("text") <= sample_bytes)
             .join(F.broadcast(ids[0].unionAll(ids[1])), "doc_id").orderBy("doc_id", "text").select("text", "toxic"))
-    found = rows.toArrow()
-    return found.column("text").combine_chunks(), np.array(found.column("toxic").to_pylist(), np.int64)
 
 
 def train(texts, labels: np.ndarray, seed: int = 11) -> Model:
@@ -212,4 +210,8 @@ def score(docs: DataFrame, model: Model, text: str = "text", name: str = "toxici
 
 
 def fitted(docs: DataFrame, labels: DataFrame, **bounds) -> Model:
-    return train(*sample(docs, labels, **bounds))
+    def learn(table):
+        model = train(table.column("text"), np.array(table.column("toxic").to_pylist(), np.int64))
+        return model.embeddings, model.weights, model.bias
+
+    return Model(*in_one_task(sample(docs, labels, **bounds), learn))
