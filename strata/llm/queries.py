@@ -123,7 +123,7 @@ def escape_sql(x: str) -> str:
 
 
 def op3_sql(conversations: str = "conversations") -> str:
-    order = "ORDER BY turn, role, sha256(text)"
+    order = "ORDER BY turn NULLS FIRST, role, sha256(text)"
     return f"""
 WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM {conversations}
            UNION ALL VALUES (-1, 0, 'user', '{TRAP}'), (-1, 1, 'assistant', '{TRAP}'))

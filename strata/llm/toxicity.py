@@ -11,8 +11,8 @@ the order of a hash of the id. As labels hold for whole texts, runs of toxic tex
 toxic; then only the runs that the model finds most toxic in their text do, against the runs of clean
 texts that it finds most toxic and random ones. Clean texts kept back set the bias. Scoring covers whole texts of all rows, row-local.
 
-Defined results: a null or wordless text scores as an average of nothing (the bias); a text shorter
-than a run is one run; rows with null or several labels count as toxic if any label is 1, and rows
+Defined results: a null or wordless text scores 0; a text shorter than a
+run is one run; rows with null or several labels count as toxic if any label is 1, and rows
 whose labels are all null are not learned from; without rows of both classes every score is 0; equal
 texts have equal scores; an empty table gives no rows; other columns pass through.
 """
@@ -198,11 +198,11 @@ def score(docs: DataFrame, model: Model, text: str = "text", name: str = "toxici
 
         def kernel(data, offsets, batch):
             value, row, _ = window_logits(*word_sums(data, offsets, tokenizer, logits))
-            best = np.zeros(len(offsets) - 1)
+            best = np.full(len(offsets) - 1, -np.inf)
             if len(row):
                 edge = np.flatnonzero(np.diff(row, prepend=-1))
                 best[row[edge]] = np.maximum.reduceat(value, edge)
-            return [1 / (1 + np.exp(-np.clip(best + bias, -60, 60)))]
+            return [np.where(np.isfinite(best), 1 / (1 + np.exp(-np.clip(best + bias, -60, 60))), 0.0)]
 
         return kernel
 
