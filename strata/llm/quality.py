@@ -41,7 +41,8 @@ BANDS = {
     "other": (0.3, 8.0, 0.80, 0.35),
 }
 #: Around the middle of the texts of a language: a text is outside if its characters per token differ by more
-#: than this share and by more than so many standard errors (one character over the root of its tokens).
+#: than this share and by more than so many standard errors. A standard error is the language's spread over the
+#: root of the text's tokens; the spread is such that 68 % of its texts lie within one.
 SHARE_BELOW, SHARE_ABOVE, ERRORS = 0.06, 0.50, 3.0
 #: Languages with fewer texts, and all but the most common ones, take the middle of their script.
 LEAST_TEXTS, MOST_LANGUAGES = 30, 1000
@@ -173,33 +174,37 @@ def per_token():
 
 
 def middles(measured: DataFrame, lang: str | None) -> DataFrame:
-    """The median characters per token over all texts that pass the base rule, by language and by script
-    (``of`` is "l:..." or "s:..."): at most MOST_LANGUAGES rows and one for each script."""
+    """Median and spread of the characters per token over all texts that pass the base rule, by language and by
+    script (``of`` is "l:..." or "s:..."): at most MOST_LANGUAGES rows and one for each script."""
     names = [F.concat(F.lit("s:"), "script")] + ([F.concat(F.lit("l:"), F.col(f"`{lang}`").cast("string"))] if lang else [])
-    return (measured.where(~base_failed()).select(F.explode(F.array(*names)).alias("of"), per_token().alias("x"))
-            .where("of IS NOT NULL").groupBy("of").agg(F.percentile_approx("x", 0.5).alias("middle"), F.count("*").alias("n"))
-            .where(F.col("n") >= LEAST_TEXTS).orderBy(F.desc("n"), "of").limit(MOST_LANGUAGES + len(SCRIPT_LEADS)))
+    texts = (measured.where(~base_failed()).select(F.explode(F.array(*names)).alias("of"), per_token().alias("x"), "n_tokens")
+             .where("of IS NOT NULL"))
+    middle = (texts.groupBy("of").agg(F.percentile_approx("x", 0.5).alias("middle"), F.count("*").alias("n"))
+              .where(F.col("n") >= LEAST_TEXTS).orderBy(F.desc("n"), "of").limit(MOST_LANGUAGES + len(SCRIPT_LEADS)).drop("n"))
+    off = F.abs(F.col("x") - F.col("middle")) * F.sqrt("n_tokens")
+    return texts.join(F.broadcast(middle), "of").groupBy("of", "middle").agg(F.percentile_approx(off, 0.68).alias("spread"))
 
 
-def fits(middle: str):
-    """Whether all measures lie in the bands; ``middle`` is null where there are too few texts for one."""
+def fits(band: str):
+    """Whether all measures lie in the bands; ``band`` (middle, spread) is null where there are too few texts for one."""
     x, ok = per_token(), F.lit(False)
     for name, (least, most, byte_share, entropy) in BANDS.items():
         inside = (x >= least) & (x <= most) & (F.col("n_byte_tokens") <= byte_share * F.col("n_tokens"))
         ok = F.when(F.col("script") == name, inside & (F.col("token_entropy") >= entropy)).otherwise(ok)
-    m, error = F.col(middle), ERRORS / F.sqrt(F.greatest("n_tokens", F.lit(1)))
+    m, error = F.col(band)["middle"], ERRORS * F.col(band)["spread"] / F.sqrt(F.greatest("n_tokens", F.lit(1)))
     below = m - x > F.greatest(SHARE_BELOW * m, error)
     above = x - m > F.greatest(SHARE_ABOVE * m, error)
     return ok & ~F.coalesce(below | above, F.lit(False))
 
 
 def verdicts(measured: DataFrame, lang: str | None = None) -> DataFrame:
-    """``measured`` (read twice: give it checkpointed or written) with base_failed, band_middle and kept."""
+    """``measured`` (read twice: give it checkpointed or written) with base_failed, band_middle, band_spread and kept."""
     known = middles(measured, lang)
     out = measured.withColumn("base_failed", base_failed())
     for name, key in (("by_script", F.concat(F.lit("s:"), "script")),
                       ("by_lang", F.concat(F.lit("l:"), F.col(f"`{lang}`").cast("string")) if lang else F.lit(None).cast("string"))):
-        side = known.select(F.col("of").alias(f"{name}_of"), F.col("middle").alias(name))
+        side = known.select(F.col("of").alias(f"{name}_of"), F.struct("middle", "spread").alias(name))
         out = out.join(F.broadcast(side), key == F.col(f"{name}_of"), "left").drop(f"{name}_of")
-    out = out.withColumn("band_middle", F.coalesce("by_lang", "by_script")).drop("by_lang", "by_script")
-    return out.withColumn("kept", ~F.col("base_failed") & fits("band_middle"))
+    out = out.withColumn("band", F.coalesce("by_lang", "by_script")).drop("by_lang", "by_script")
+    kept = ~F.col("base_failed") & fits("band")
+    return out.select("*", F.col("band.middle").alias("band_middle"), F.col("band.spread").alias("band_spread"), kept.alias("kept")).drop("band")

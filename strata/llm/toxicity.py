@@ -9,11 +9,11 @@ Training is by stochastic gradient steps (Adagrad) on embeddings and softmax tog
 sample: at most ``per_class`` labelled rows of each class, of at most ``sample_bytes`` bytes each, in
 the order of a hash of the id. As labels hold for whole texts, runs of toxic texts first all count as
 toxic; then only the runs that the model finds most toxic in their text do, against the runs of clean
-texts that it finds most toxic and random ones. Clean texts kept back set the bias. Scoring covers whole texts of all rows, row-local.
+texts that it finds most toxic and random ones. Clean texts kept back set the bias. Scoring covers whole
+texts of all rows, row-local.
 
-Defined results: a null or wordless text scores 0; a text shorter than a
-run is one run; rows with null or several labels count as toxic if any label is 1, and rows
-whose labels are all null are not learned from; without rows of both classes every score is 0; equal
+Defined results: a null or wordless text scores 0; a text shorter than a run is one run; rows with null
+or several labels count as toxic if any label is 1, and rows whose labels are all null are not learned from; without rows of both classes every score is 0; equal
 texts have equal scores; an empty table gives no rows; other columns pass through.
 """
 
