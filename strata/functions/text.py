@@ -140,18 +140,17 @@ def disambiguation(summary, topic_col, title) -> Column:
     """If 'may refer to:' is in the first 80 chars: title + first 3 usable lines, else null."""
     s = _c(summary)
     t = _c(topic_col)
-    lines = F.transform(F.split(s, "\n"), lambda l: py_strip(l))
-    keep = F.filter(lines, lambda l: (l != "") & ~F.startswith(F.lower(l), t) & ~F.lower(l).contains("refer to:"))
-    body = F.array_join(F.slice(keep, 1, 3), "\n")
+    keep = F.filter(F.split(s, "\n"), lambda l: (py_strip(l) != "") & ~F.startswith(F.lower(l), t) & ~F.lower(l).contains("refer to:"))
+    body = F.array_join(F.transform(F.slice(keep, 1, 3), lambda l: py_strip(l)), "\n")
     is_dis = F.lower(F.substring(s, 1, 80)).contains("may refer to:")
     return F.when(is_dis & (F.size(keep) > 0), F.concat(F.lit("**"), _c(title), F.lit("**\n\n"), body))
 
 
 def disambiguation_sql(s: str, t: str, title: str) -> str:
-    keep = (f"list_filter(list_transform(string_split({s}, chr(10)), lambda l: {py_strip_sql('l')}), "
-            f"lambda l: l <> '' AND NOT starts_with(lower(l), {t}) AND NOT contains(lower(l), 'refer to:'))")
+    keep = (f"list_filter(string_split({s}, chr(10)), "
+            f"lambda l: {py_strip_sql('l')} <> '' AND NOT starts_with(lower(l), {t}) AND NOT contains(lower(l), 'refer to:'))")
     return (f"CASE WHEN contains(lower(substr({s}, 1, 80)), 'may refer to:') AND len({keep}) > 0 "
-            f"THEN '**' || {title} || '**' || chr(10) || chr(10) || array_to_string({keep}[1:3], chr(10)) END")
+            f"THEN '**' || {title} || '**' || chr(10) || chr(10) || array_to_string(list_transform({keep}[1:3], lambda l: {py_strip_sql('l')}), chr(10)) END")
 
 
 # P5 math word normalisation (operator words, shorthand functions).

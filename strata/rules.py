@@ -28,7 +28,7 @@ GREETINGS = [
     ("thank you", "Happy to help! Feel free to ask more queries."),
     ("bye", "Goodbye! Have a wonderful day!"),
     ("goodbye", "Goodbye! Take care!"),
-    ("who are you", "I am Kuiper, an intelligent multi-layer AI router designed to optimize query execution and minimize LLM costs."),
+    ("who are you", "I am an intelligent multi-layer AI router designed to optimize query execution and minimize LLM costs."),
 ]
 
 # Layer 0A facts: (phrase, answer); the phrase is matched as a substring.

@@ -7,6 +7,7 @@ not blank the whole log (the reference returns nothing then): it is kept in
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as Ty
@@ -59,14 +60,14 @@ def write_traces(traces: DataFrame, path: str, mode: str = "append") -> None:
 
 def read_traces(spark: SparkSession, path: str) -> DataFrame:
     """schema'd scan; a missing log is an empty table; bad lines land in ``_corrupt``."""
-    schema = TRACE_SCHEMA.add(Ty.StructField(CORRUPT, Ty.StringType()))
+    schema = Ty.StructType([*TRACE_SCHEMA.fields, Ty.StructField(CORRUPT, Ty.StringType())])
     try:
         return (spark.read.schema(schema).option("mode", "PERMISSIVE")
                 .option("columnNameOfCorruptRecord", CORRUPT).json(path))
-    except Exception as e:  # noqa: BLE001 - path does not exist yet
-        if "PATH_NOT_FOUND" in str(e) or "does not exist" in str(e):
-            return spark.createDataFrame([], schema)
-        raise
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
 
 
 def clear_traces(spark: SparkSession, path: str) -> None:

@@ -14,6 +14,7 @@ from __future__ import annotations
 import os
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,33 +24,38 @@ from strata.session import scratch_path
 
 def route_stream(spark: SparkSession, source: DataFrame, keys: list[str], text: str, bank: DataFrame,
                  completions: DataFrame | None = None, knowledge: DataFrame | None = None,
-                 base: str | None = None, max_files_per_trigger: int | None = None, **route_kw) -> str:
-    """Run the streaming cascade to completion (availableNow); returns the output folder."""
+                 base: str | None = None, **route_kw) -> str:
+    """Run the streaming cascade to completion (availableNow); returns the output folder.
+
+    ``base`` is where state and output live: give the same one again to resume. How many files make a
+    micro-batch is the source's ``maxFilesPerTrigger``. A batch's rows go to folders of its own epoch,
+    which a replay overwrites, so nothing is written twice."""
     base = base or scratch_path(spark, f"stream-{uuid.uuid4().hex}")
     out, learned_path = os.path.join(base, "decisions"), os.path.join(base, "learned")
     bank_cols = bank.columns
 
     def one_batch(df: DataFrame, epoch_id: int) -> None:
         try:
-            learned = spark.read.parquet(learned_path).select(*bank_cols)
-            bank_now = bank.unionByName(learned)
-        except Exception:  # noqa: BLE001 - nothing learned yet
-            bank_now = bank
+            learned = spark.read.parquet(learned_path).where(F.col("epoch") < epoch_id)
+            fresh = learned.dropDuplicates([bank_cols[1]]).select(*bank_cols).join(bank.select(bank_cols[1]), bank_cols[1], "left_anti")
+            bank_now = bank.unionByName(fresh.select(*bank_cols))
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            bank_now = bank  # nothing learned yet
         dec = CA.route(df, keys, text, bank=bank_now, completions=completions, knowledge=knowledge, **route_kw)
-        dec = dec.withColumn("epoch", F.lit(epoch_id)).checkpoint(eager=True)
-        dec.write.mode("append").parquet(out)
+        dec = dec.checkpoint(eager=True)
+        dec.write.mode("overwrite").parquet(os.path.join(out, f"epoch={epoch_id}"))
         ok5 = (F.col("layer") == "5") & (F.col("handled_by") != "error")
         if completions is not None:
             new = (dec.filter(ok5).select(*keys).join(df.select(*keys, text), keys)
                    .join(completions.select(*keys, "answer"), keys)
                    .select(F.xxhash64(*[F.col(k) for k in keys]).alias(bank_cols[0]), F.col(text).alias(bank_cols[1]),
                            F.col("answer").alias(bank_cols[2])))
-            new.write.mode("append").parquet(learned_path)
+            new.write.mode("overwrite").parquet(os.path.join(learned_path, f"epoch={epoch_id}"))
 
-    w = source.writeStream.foreachBatch(one_batch).option("checkpointLocation", os.path.join(base, "_ckpt_route"))
-    if max_files_per_trigger:
-        w = w.option("maxFilesPerTrigger", max_files_per_trigger)
-    q = w.trigger(availableNow=True).start()
+    q = (source.writeStream.foreachBatch(one_batch).option("checkpointLocation", os.path.join(base, "_ckpt_route"))
+         .trigger(availableNow=True).start())
     q.awaitTermination()
     return out
 
