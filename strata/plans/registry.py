@@ -6,6 +6,7 @@ returns a DataFrame whose column names equal those of its oracle SQL.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from strata import rules as R
 from strata.functions import predicates as P
 from strata.functions import text as T
+from strata.functions.regex import sql_str
 from strata.operators import handler, keyword, providers
 from strata.sources.tables import (ASSISTANT_REPLIES_SQL, USER_TURNS_SQL, assistant_replies, table,
                                    user_turns)
@@ -355,13 +357,14 @@ def q_cosine_topk(spark, sf):
 
 def _voters(spark, sf):
     """Three deterministic voters per embedding: nearest centroid (all dims), nearest
-    neighbour (leave-one-out), nearest centroid on the first 32 dims."""
+    neighbour (leave-one-out), nearest centroid of the unit-length vectors."""
     e = _emb(spark, sf)
     c_all = V.centroids(e, "label", "embedding").withColumnRenamed("label", "c_label")
-    c_32 = V.centroids(e, "label", "embedding", dims=32).withColumnRenamed("label", "c_label")
+    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    unit = e.select("label", F.transform("embedding", lambda x: x.cast("double") / norm).alias("unit"))
+    c_unit = V.centroids(unit, "label", "unit").withColumnRenamed("label", "c_label")
     v1 = V.nearest(e, ["vec_id"], "embedding", c_all, "c_label", "centroid")
-    e32 = e.select("vec_id", F.slice("embedding", 1, 32).alias("e32"))
-    v3 = V.nearest(e32, ["vec_id"], "e32", c_32, "c_label", "centroid")
+    v3 = V.nearest(e, ["vec_id"], "embedding", c_unit, "c_label", "centroid")
     v2 = _loo(spark, sf, 1)
     votes = (v1.select("vec_id", F.lit(1).alias("pos"), F.col("c_label").alias("label"))
              .unionByName(v2.select("vec_id", F.lit(2).alias("pos"), F.col("nn_label").alias("label")))
@@ -372,10 +375,12 @@ def _voters(spark, sf):
 
 _CENT = """cx AS (SELECT label, unnest(generate_series(1, len(v))) AS pos, unnest(v) AS x FROM e),
 c_all AS (SELECT label, list(x ORDER BY pos) AS c FROM (SELECT label, pos, avg(x) AS x FROM cx GROUP BY label, pos) GROUP BY label),
-c_32 AS (SELECT label, list(x ORDER BY pos) AS c FROM (SELECT label, pos, avg(x) AS x FROM cx WHERE pos <= 32 GROUP BY label, pos) GROUP BY label),
+ux AS (SELECT label, unnest(generate_series(1, len(v))) AS pos, unnest(list_transform(v, lambda x: x / n)) AS x
+       FROM (SELECT label, v, sqrt(list_sum(list_transform(v, lambda x: x::DOUBLE * x::DOUBLE))) AS n FROM e)),
+c_unit AS (SELECT label, list(x ORDER BY pos) AS c FROM (SELECT label, pos, avg(x) AS x FROM ux GROUP BY label, pos) GROUP BY label),
 v1s AS (SELECT e.vec_id, c.label, list_cosine_similarity(e.v, c.c) AS sim,
           row_number() OVER (PARTITION BY e.vec_id ORDER BY list_cosine_similarity(e.v, c.c) DESC, c.label) AS rn FROM e, c_all c),
-v3s AS (SELECT e.vec_id, c.label, row_number() OVER (PARTITION BY e.vec_id ORDER BY list_cosine_similarity(e.v[1:32], c.c) DESC, c.label) AS rn FROM e, c_32 c),
+v3s AS (SELECT e.vec_id, c.label, row_number() OVER (PARTITION BY e.vec_id ORDER BY list_cosine_similarity(e.v, c.c) DESC, c.label) AS rn FROM e, c_unit c),
 votes AS (SELECT vec_id, 1 AS pos, label FROM v1s WHERE rn = 1
           UNION ALL SELECT vec_id, 2, nn_label FROM r WHERE rn = 1
           UNION ALL SELECT vec_id, 3, label FROM v3s WHERE rn = 1),
@@ -789,23 +794,33 @@ def q_containment(spark, sf):
 from strata.operators import arith as AR  # noqa: E402
 
 
+#: (template, expression over q, p, d, t, its value in SQL); the last one is malformed on purpose.
+SHAPES = [
+    ("(#+#)*#", "({q} + {t}) * {p}", "(q + t) * p"), ("#*#-#", "{q} * {p} - {d}", "q * p - d"),
+    ("#/#+#", "{p} / {q} + {t}", "p / q + t"), ("-#+#", "-{q} + {p}", "p - q"), ("#--#", "{q}--{p}", "q + p"),
+    ("#^#", "{q} ^ 2", "q * q"), ("#%#", "{p} % {q}", "p % q"), ("#//#", "{p} // {q}", "floor(p / q)"),
+    ("#/(#+#)", "{p} / ({q} + {t})", "p / (q + t)"), ("#**#/(#-#)", "{q} ** 2 / ({t} - {t})", "NULL"), ("#*", "{q} *", "NULL"),
+]
+
+
 def _expressions(spark, sf):
-    """Expression strings built from lineitem numbers; the shape depends on the return flag."""
+    """Expression strings built from lineitem numbers; the shape goes round with the line."""
     li = table(spark, sf, "lineitem")
-    q, p, d, t = (F.col(c).cast("string") for c in ["l_quantity", "l_extendedprice", "l_discount", "l_tax"])
-    e = (F.when(F.col("l_returnflag") == "A", F.concat(F.lit("("), q, F.lit(" + "), t, F.lit(") * "), p))
-         .when(F.col("l_returnflag") == "N", F.concat(q, F.lit(" * "), p, F.lit(" - "), d))
-         .otherwise(F.concat(p, F.lit(" / "), q, F.lit(" + "), t)))
+    cols = {k: F.col(c).cast("string") for k, c in (("q", "l_quantity"), ("p", "l_extendedprice"), ("d", "l_discount"), ("t", "l_tax"))}
+    shape = F.pmod(F.col("l_orderkey") + F.col("l_linenumber"), F.lit(len(SHAPES)))
+    e = F.coalesce(*[F.when(shape == i, F.concat(*[cols[x[0]] if k % 2 else F.lit(x) for k, x in enumerate(re.split(r"[{}]", text))]))
+                     for i, (_, text, _) in enumerate(SHAPES)])
     return li.select("l_orderkey", "l_linenumber", e.alias("expr"))
 
 
-@register("q_arith_templates", """
-SELECT l_orderkey, l_linenumber,
-  CASE WHEN l_returnflag = 'A' THEN '(#+#)*#' WHEN l_returnflag = 'N' THEN '#*#-#' ELSE '#/#+#' END AS template,
-  CASE WHEN l_returnflag = 'A' THEN (l_quantity + l_tax) * l_extendedprice
-       WHEN l_returnflag = 'N' THEN l_quantity * l_extendedprice - l_discount
-       ELSE l_extendedprice / nullif(l_quantity, 0) + l_tax END AS value
-FROM lineitem""")
+def _shape_sql(part: int) -> str:
+    return " ".join(f"WHEN {i} THEN {sql_str(s[0]) if part == 0 else s[2]}" for i, s in enumerate(SHAPES))
+
+
+@register("q_arith_templates", f"""
+SELECT l_orderkey, l_linenumber, CASE s {_shape_sql(0)} END AS template, CAST(CASE s {_shape_sql(2)} END AS DOUBLE) AS value
+FROM (SELECT *, (l_orderkey + l_linenumber) % {len(SHAPES)} AS s, CAST(l_quantity AS DOUBLE) q, CAST(l_extendedprice AS DOUBLE) p,
+             CAST(l_discount AS DOUBLE) d, CAST(l_tax AS DOUBLE) t FROM lineitem)""")
 def q_arith_templates(spark, sf):
     return AR.evaluate(_expressions(spark, sf), "expr").select("l_orderkey", "l_linenumber", "template", "value")
 
