@@ -561,7 +561,7 @@ mh AS (SELECT pid, bid, round_even(sim, 3) AS similarity FROM (
         SELECT pid, bid, sim, row_number() OVER (PARTITION BY pid ORDER BY sim DESC, bid) AS rn FROM sim) WHERE rn = 1),
 kw AS ({keyword.classify_sql(USER_TURNS_SQL, ["conv_id", "turn"], "query", R.keyword_rules())}),
 kb AS {KN.best_sql()},
-x AS (SELECT conv_id, turn, query, {_H0['h0a_kind']} AS h0a_kind, {_H0['h0a_rule']} AS h0a_rule,
+x AS (SELECT conv_id, turn, query, {_H0['h0a_kind']} AS h0a_kind, {_H0['h0a_rule']} AS h0a_rule, {_H0['h0a_answer']} AS h0a_answer,
              {P.gk_gate_sql('query')} AS gk, {T.topic_sql('query')} AS topic FROM {U}),
 y AS (SELECT x.*, kw.kw_hit, kw.kw_label, kw.kw_confidence, kb.summary, kb.source_rank,
              mh.bid AS match_id, mh.similarity, a.answer
@@ -586,11 +586,16 @@ SELECT conv_id, turn, layer,
   CASE WHEN layer = '5' AND answer IS NOT NULL THEN
        CASE WHEN sel_provider = 'gemini' THEN {providers.flat_cost_sql(_PT + ' + ' + _CT)}
             ELSE {providers.split_cost_sql(_PT, _CT)} END END AS cost,
-  {_STEPS_SQL} AS steps
+  {_STEPS_SQL} AS steps,
+  CASE WHEN layer = '0A' THEN h0a_answer WHEN layer = '0B' THEN summary WHEN layer = '1' THEN kw_label
+       WHEN layer = '2' THEN 'item-' || match_id ELSE answer END AS answer,
+  CASE WHEN layer = '5' AND answer IS NULL THEN 'Layer 5: LLM (Error)'
+       WHEN layer = '5' THEN 'Layer 5: LLM (' || upper(sel_provider[1]) || sel_provider[2:] || ' - ' || sel_model || ')'
+       ELSE CASE layer {' '.join(f"WHEN {sql_str(l)} THEN {sql_str(n)}" for l, _, n in R.LAYERS)} END END AS layer_name
 FROM z"""
 
 _CASCADE_COLS = ["conv_id", "turn", "layer", "handled_by", "label", "cost_saved", "confidence", "alpha",
-                 "price_tier", "provider", "model", "tokens", "cost", "steps"]
+                 "price_tier", "provider", "model", "tokens", "cost", "steps", "answer", "layer_name"]
 
 
 @register("q_cascade", _CASCADE_SQL)
@@ -598,6 +603,30 @@ def q_cascade(spark, sf):
     return decisions(spark, sf).select(*_CASCADE_COLS)
 
 
+_CONV = R.conversion_rules()[0]
+_HI = R.greeting_rules()[0]
+
+
+@register("q_cascade_handled", f"""
+SELECT l_orderkey, l_linenumber, '0A' AS layer,
+  CASE l_linenumber % 4 WHEN 1 THEN 'conversion' WHEN 2 THEN 'greeting' ELSE 'math' END AS handled_by,
+  CASE l_linenumber % 4 WHEN 1 THEN {sql_str(_CONV[4])} WHEN 2 THEN {sql_str(_HI[2])}
+       WHEN 3 THEN CAST(CAST(l_quantity AS BIGINT) * l_linenumber - 1 AS VARCHAR)
+       ELSE CAST(CAST(l_quantity AS BIGINT) + l_linenumber AS VARCHAR) END AS answer
+FROM lineitem""")
+def q_cascade_handled(spark, sf):
+    """Requests made from every line item, which layer 0A answers: sums, products, conversions, greetings; each
+    seventh line adds a blank request, which is rejected."""
+    li = table(spark, sf, "lineitem")
+    q, n, kind = F.col("l_quantity").cast("long").cast("string"), F.col("l_linenumber").cast("string"), F.col("l_linenumber") % 4
+    ask = (F.when(kind == 1, F.concat(F.lit("convert "), q, F.lit(f" {_CONV[1]} to {_CONV[2]}"))).when(kind == 2, F.lit(_HI[1]))
+           .when(kind == 3, F.concat(F.lit("what is "), q, F.lit(" * "), n, F.lit(" - 1"))).otherwise(F.concat(F.lit("what is "), q, F.lit(" + "), n)))
+    asked = li.select("l_orderkey", "l_linenumber", ask.alias("query"))
+    blank = li.where("l_linenumber = 7").select("l_orderkey", (-F.col("l_linenumber")).alias("l_linenumber"), F.lit("  ").alias("query"))
+    d = CA.route(asked.unionByName(blank), ["l_orderkey", "l_linenumber"], "query")
+    return d.select("l_orderkey", "l_linenumber", "layer", "handled_by", "answer")
+
+
 @register("q_stats", f"""
 WITH d AS ({_CASCADE_SQL})
 SELECT count(*) AS total, count(*) FILTER (WHERE cost_saved) AS local, count(*) FILTER (WHERE NOT cost_saved) AS llm,
