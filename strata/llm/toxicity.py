@@ -13,8 +13,9 @@ texts that it finds most toxic and random ones. Clean texts kept back set the bi
 texts of all rows, row-local.
 
 Defined results: a null or wordless text scores 0; a text shorter than a run is one run; rows with null
-or several labels count as toxic if any label is 1, and rows whose labels are all null are not learned from; without rows of both classes every score is 0; equal
-texts have equal scores; an empty table gives no rows; other columns pass through.
+or several labels count as toxic if any label is 1, and rows whose labels are all null are not learned
+from; without rows of both classes every score is 0; equal texts have equal scores; an empty table gives
+no rows; other columns pass through.
 """
 
 from __future__ import annotations
@@ -33,14 +34,16 @@ WINDOW = 8
 SIZES = (3, 4, 5)
 BUCKETS = 1 << 17
 DIM = 8
-PER_CLASS = 3000
-SAMPLE_BYTES = 1 << 15
+PER_CLASS = 1500
+SAMPLE_BYTES = 1 << 14
 STEPS = (250, 250, 250)
 BATCH = 512
 RATE = 0.5
 THRESHOLD = 0.7
 #: A fifth of the clean sample is kept from training; the bias lets this share of it score below this.
 CLEAN_SHARE, CLEAN_SCORE = 0.99, 0.55
+#: A run of n-grams that training never saw scores no more than this, whatever the kept-back texts say.
+UNSEEN_SCORE = 0.4
 
 GRAM_BYTES = np.random.default_rng(7).integers(1, 2**63, (max(SIZES), 256), dtype=np.uint64)
 
@@ -128,6 +131,8 @@ def train(texts, labels: np.ndarray, seed: int = 11) -> Model:
     _, first, word = np.unique(h, return_index=True, return_inverse=True)
     ids, count = ngrams(data, starts[first], ends[first])
     gram_at = np.cumsum(count) - count
+    ids, word = ids.astype(np.int32), word.astype(np.int32)
+    del data, starts, ends, h, first
     speed = [np.full(x.shape, 1e-3, np.float32) for x in (model.embeddings, model.weights, model.bias)]
 
     def ranges(begin, n):
@@ -155,9 +160,9 @@ def train(texts, labels: np.ndarray, seed: int = 11) -> Model:
 
     n_words = np.diff(bounds)
     runs = np.where(n_words > 0, np.maximum(n_words - WINDOW + 1, 1), 0)
-    row = np.repeat(np.arange(len(runs)), runs)
-    begin = np.arange(len(row)) - np.repeat(np.cumsum(runs) - runs, runs) + bounds[row]
-    size = np.minimum(WINDOW, bounds[row + 1] - begin)
+    row = np.repeat(np.arange(len(runs), dtype=np.int32), runs)
+    begin = (np.arange(len(row)) - np.repeat(np.cumsum(runs) - runs, runs) + bounds[row]).astype(np.int32)
+    size = np.minimum(WINDOW, bounds[row + 1] - begin).astype(np.int32)
     toxic_run = labels[row] == 1
     clean = np.flatnonzero(labels == 0)
     kept_back = np.isin(np.arange(len(labels)), clean[::5] if len(clean) > 9 else [])
@@ -184,7 +189,9 @@ def train(texts, labels: np.ndarray, seed: int = 11) -> Model:
     best = logits()[1]
     held = best[kept_back & np.isfinite(best)]
     if len(held):
-        model.bias = np.array([0, np.log(CLEAN_SCORE / (1 - CLEAN_SCORE)) - np.quantile(held, CLEAN_SHARE)], np.float32)
+        logit, top = lambda s: np.log(s / (1 - s)), float(np.quantile(held, CLEAN_SHARE))
+        bias = min(logit(CLEAN_SCORE) - top, logit(UNSEEN_SCORE))
+        model.bias = np.array([0, bias], np.float32)
     return model
 
 
