@@ -221,8 +221,9 @@ def test_toxicity(frame, spark, odd, run):
     assert np.mean([got[i]["predicted"] == (i % 8 == 0) for i in held]) > 0.95
     assert all(0 <= r["score"] <= 1 for r in got.values()) and got[900]["score"] == got[901]["score"] and not got[900]["predicted"]
     model = toxicity.fitted(docs, labels)
-    unseen = {r["text"]: r["toxicity"] for r in toxicity.score(frame([(1, f"{PROSE} zxgrubb {PROSE}"), (2, PROSE)]).drop("toxicity"), model).collect()}
-    assert unseen[f"{PROSE} zxgrubb {PROSE}"] > 0.7 > unseen[PROSE]
+    clean = next(t for i, t in rows if i in held and i % 8)
+    unseen = [r["toxicity"] for r in toxicity.score(frame([(1, f"{clean} zxgrubb"), (2, clean)]).drop("toxicity"), model).orderBy("doc_id").collect()]
+    assert unseen[0] > 0.7 > unseen[1]
     none = run("op5_toxicity", documents=odd, labels=labels.limit(0)).collect()
     assert len(none) == len(ODD) and all(r["score"] < 1e-6 for r in none)
     assert run("op5_toxicity", documents=odd.limit(0), labels=labels).count() == 0
