@@ -251,12 +251,26 @@ def prepared(docs: DataFrame, path: str):
     return docs.sparkSession.sparkContext.broadcast((trie, scores, byte_id, joined(names), part))
 
 
-def encode(docs: DataFrame, model: str = MODEL, text: str = "text", name: str = "token_ids", keep: list[str] | None = None) -> DataFrame:
-    """``docs`` (or the columns ``keep``) with the ids of the text's pieces."""
+def texts_of(ids: np.ndarray, counts: np.ndarray, pieces) -> list[str]:
+    """The text of each run of ``counts`` ids, without the first marker."""
+    data, begin, size = pieces
+    fine = (ids >= 0) & (ids < len(size))
+    known = np.where(fine, ids, 0)
+    length = np.where(fine, size[known], 0)
+    text = data[ranges(begin[known], length)].tobytes()
+    ends = np.concatenate([[0], np.cumsum(length)])[np.concatenate([[0], np.cumsum(counts)])].tolist()
+    return [text[a + text.startswith(b" ", a, z):z].decode(errors="replace") for a, z in zip(ends[:-1], ends[1:], strict=True)]
+
+
+def encode(docs: DataFrame, model: str = MODEL, text: str = "text", name: str = "token_ids", keep: list[str] | None = None,
+           decoded: str | None = None) -> DataFrame:
+    """``docs`` (or the columns ``keep``) with the ids of the text's pieces; if ``decoded`` names a column, also
+    with the text that the ids decode to, in the same pass."""
     shared = prepared(docs, model)
+    fields = [T.StructField(name, T.ArrayType(T.IntegerType()))] + ([T.StructField(decoded, T.StringType())] if decoded else [])
 
     def start():
-        trie, scores, byte_id, _, part = shared.value
+        trie, scores, byte_id, pieces, part = shared.value
         encoder = Encoder(trie, scores, byte_id)
         known, tokenizer = Remembered(encoder.encode), Tokenizer(np.ones(256, bool), lower=False)
 
@@ -265,11 +279,12 @@ def encode(docs: DataFrame, model: str = MODEL, text: str = "text", name: str =
             starts, ends = segments(text, edges, part)
             ids, n = known.look_up(text, starts, ends, tokenizer.hashes(text, starts, ends))
             row_ids = np.concatenate([[0], np.cumsum(n)])[np.searchsorted(starts, edges)]
-            return [pa.ListArray.from_arrays(pa.array(row_ids.astype(np.int32)), pa.array(ids, pa.int32()))]
+            out = [pa.ListArray.from_arrays(pa.array(row_ids.astype(np.int32)), pa.array(ids, pa.int32()))]
+            return out + ([texts_of(ids.astype(np.int64), np.diff(row_ids), pieces)] if decoded else [])
 
         return kernel
 
-    return append(docs, [T.StructField(name, T.ArrayType(T.IntegerType()))], start, text, keep=keep, slice_bytes=2 << 20)
+    return append(docs, fields, start, text, keep=keep, slice_bytes=1 << 20)
 
 
 def decode(rows: DataFrame, model: str = MODEL, ids: str = "token_ids", name: str = "decoded") -> DataFrame:
@@ -279,21 +294,13 @@ def decode(rows: DataFrame, model: str = MODEL, ids: str = "token_ids", name: st
     schema = T.StructType([*rows.schema.fields, T.StructField(name, T.StringType())])
 
     def run(batches):
-        data, begin, size = shared.value
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(ids))
             out = []
             for i in range(0, len(column), 500):
                 part = column.slice(i, 500)
                 n = np.array(part.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), np.int64)
-                flat = part.flatten().fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
-                fine = (flat >= 0) & (flat < len(size))
-                flat = np.where(fine, flat, 0)
-                length = np.where(fine, size[flat], 0)
-                text = data[ranges(begin[flat], length)].tobytes()
-                ends = np.concatenate([[0], np.cumsum(length)])[np.concatenate([[0], np.cumsum(n)])]
-                for a, z in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
-                    out.append(text[a + text.startswith(b" ", a, z):z].decode(errors="replace"))
+                out += texts_of(part.flatten().fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64), n, shared.value)
             old = [batch.column(batch.schema.get_field_index(c)) for c in columns]
             yield pa.RecordBatch.from_arrays([*old, pa.array(out, pa.string())], names=[*columns, name])
 

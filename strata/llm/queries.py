@@ -183,8 +183,7 @@ def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("op7_sentencepiece")
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    encoded = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    back = pieces.decode(encoded)
+    back = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), decoded="decoded")
     return back.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"),
                        F.size(F.filter("token_ids", lambda i: pieces.is_byte_piece(i))).cast("long").alias("n_byte_tokens"),
                        "token_ids", F.sha2("decoded", 256).alias("decoded_sha256"),
