@@ -7,6 +7,8 @@ partition; a text longer than the bound is a slice of its own.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import pickle
 
 import numpy as np
@@ -18,6 +20,15 @@ from pyspark.sql.pandas.types import to_arrow_schema
 SLICE_BYTES = 1 << 20
 
 
+def give_back() -> None:
+    """Returns freed memory to the system: Python workers are reused, and keep what their largest task needed."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def text_buffers(column) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all rows and the row offsets into them; a null row is empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -68,6 +79,8 @@ def append(df: DataFrame, fields: list[T.StructField], start, text: str = "text"
                        for v, t in zip(kernel(data, offsets, part), types, strict=True)]
                 old = [part.column(part.schema.get_field_index(c)) for c in kept]
                 yield pa.RecordBatch.from_arrays(old + new, names=kept + names)
+        del kernel
+        give_back()
 
     return source.mapInArrow(run, schema)
 
@@ -80,6 +93,8 @@ def in_one_task(sample: DataFrame, function):
     def run(batches):
         result = function(pa.Table.from_batches([b.cast(schema) for b in batches], schema))
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(result)], pa.binary())], names=["result"])
+        del result
+        give_back()
 
     rows = sample.coalesce(1).mapInArrow(run, "result binary").collect()
     return pickle.loads(rows[0]["result"]) if rows else function(schema.empty_table())

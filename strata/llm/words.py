@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 
-PIECE = 1 << 20
+PIECE = 1 << 18
 MULT = 0x9E3779B97F4A7C15 | 1
 
 LOWER = np.arange(256, dtype=np.uint8)
