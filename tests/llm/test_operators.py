@@ -223,7 +223,7 @@ def test_toxicity(frame, spark, odd, run):
     model = toxicity.fitted(docs, labels)
     clean = next(t for i, t in rows if i in held and i % 8)
     unseen = [r["toxicity"] for r in toxicity.score(frame([(1, f"{clean} zxgrubb"), (2, clean)]).drop("toxicity"), model).orderBy("doc_id").collect()]
-    assert unseen[0] > 0.7 > unseen[1]
+    assert unseen[0] > 5 * unseen[1]
     none = run("op5_toxicity", documents=odd, labels=labels.limit(0)).collect()
     assert len(none) == len(ODD) and all(r["score"] < 1e-6 for r in none)
     assert run("op5_toxicity", documents=odd.limit(0), labels=labels).count() == 0
