@@ -452,6 +452,36 @@ def test_lm_shares_sum_to_one():
         assert np.allclose(np.bincount(classes, weights=p, minlength=lm.N_CLASSES)[np.unique(classes)], 1, atol=1e-4)
 
 
+def wide_corpus():
+    """(texts, ids of each): far more distinct pieces than EMBEDDED, in texts that a sample of three does not show."""
+    import sentencepiece
+    sp = sentencepiece.SentencePieceProcessor(model_file=lm.VOCABULARY)
+    words = [w for w in (sp.id_to_piece(i)[1:] for i in range(sp.get_piece_size()) if sp.id_to_piece(i).startswith("▁")) if re.fullmatch("[a-z]{2,}", w)][:lm.EMBEDDED + 1500]
+    rnd = random.Random(9)
+    texts = [" ".join(rnd.choice(words) for _ in range(300)) for _ in range(100)] + [" ".join(words[k::60] * 2) for k in range(60)]
+    return texts, [[i for w in t.split() for i in sp.encode(w)] for t in texts]
+
+
+def test_lm_counts_every_id_of_the_corpus(spark, frame):
+    texts, ids = wide_corpus()
+    m = lm.fit(frame(list(enumerate(texts))).select("doc_id", "text"), sample_docs=3)
+    count = np.full(m["end"] + 1, 0.1)
+    for row in ids:
+        np.add.at(count, [*row, m["end"]], 1)
+    alone = np.log(count / np.bincount(m["classes"], weights=count)[m["classes"]])
+    assert len({i for row in ids for i in row}) > lm.EMBEDDED and np.allclose(m["within"][2], alone, atol=1e-4)
+    # what the ids without a place get after one context is what the corpus counts there
+    c, got = m["contexts"][m["begin"]], np.arange(m["end"] + 1)
+    p = np.exp(lm.within_logs(m["within"], m["contexts"], m["classes"], m["place"], np.full(len(got), m["begin"]), got).astype(float))
+    assert np.allclose(np.bincount(m["classes"], weights=p)[np.unique(m["classes"])], 1, atol=1e-3)
+    pairs = [(x, y) for row in ids for x, y in zip([m["begin"], *row], [*row, m["end"]], strict=True) if m["contexts"][x] == c]
+    rest = m["place"] == 0
+    for k in np.unique(m["classes"][rest]):
+        n, lost = (sum(m["classes"][y] == k and ok(y) for _, y in pairs) for ok in (lambda y: True, lambda y: rest[y]))
+        back = np.exp(alone)[rest & (m["classes"] == k)].sum() * lm.BACK_OFF
+        assert p[rest & (m["classes"] == k)].sum() == pytest.approx((lost + back) / (n + lm.BACK_OFF), rel=1e-2)
+
+
 # registered queries with SQL ────────────────────────────────────────────────
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLE))
