@@ -482,6 +482,39 @@ def test_lm_counts_every_id_of_the_corpus(spark, frame):
         assert p[rest & (m["classes"] == k)].sum() == pytest.approx((lost + back) / (n + lm.BACK_OFF), rel=1e-2)
 
 
+def test_lm_model_takes_long_texts_and_the_whole_corpus(spark, frame):
+    rnd = random.Random(4)
+    long = [(i, " ".join(rnd.choice(PROSE.split()) for _ in range(9_000))) for i in range(3)]  # each over 32 KB
+    m = lm.fit(frame(long).select("doc_id", "text"))
+    texts = lm.Texts(m["vocabulary"])
+    data = [t.encode() for _, t in long]
+    ids = texts.read(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)]))[2]
+    count = np.bincount(ids, minlength=m["end"] + 1)
+    count[m["end"]] = len(long)
+    order = np.argsort(-count, kind="stable")
+    assert (m["classes"][order[:5]] == np.arange(5)).all() and (m["place"][count > 0] > 0).all() and np.abs(m["out"]).sum() > 0
+    assert (m["histories"]["map"] < lm.PAIRS).sum() > 50
+
+
+def test_lm_windows_grow_with_the_corpus(frame):
+    docs = lambda n: frame([(i, f"{PROSE} " * 100) for i in range(n)]).select("doc_id", "text").coalesce(1)
+    raw = open(lm.VOCABULARY, "rb").read()
+    n = [lm.survey(docs(k), raw, 32000, 32001, first_tokens=1, share=4).where("window IS NOT NULL").count() for k in (20, 80)]
+    assert n[0] > 5 and abs(n[1] - 4 * n[0]) <= 4
+
+
+def test_lm_windows_hold_every_target_once():
+    ids, bounds = np.arange(5000) % 40, np.array([0, 0, 7, 3 * lm.WINDOW - 1, 5000])
+    held = list(lm.windows_of(ids, bounds, 50, 51, lambda size: range(len(size))))
+    want = [np.concatenate([ids[i:j], [51]]) for i, j in zip(bounds[:-1], bounds[1:], strict=True)]
+    assert np.array_equal(np.concatenate([w[1:] for w in held]), np.concatenate(want)) and max(map(len, held)) == lm.WINDOW + 1
+    flat, edges = lm.read_windows(lm.pa.array([w.tobytes() for w in held], lm.pa.binary()))
+    inputs, targets, real, first = lm.window_blocks(flat, edges, 50, 51)
+    assert first.sum() == len(held) and real.sum() == len(ids) + 4 - sum(w[0] != 50 for w in held)
+    whole = [x.reshape(-1) for x in lm.blocks(ids, bounds, 50, 51)[:3]]
+    assert np.array_equal(targets.ravel()[real.ravel()][:7], whole[1][whole[2]][:7])
+
+
 # registered queries with SQL ────────────────────────────────────────────────
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLE))
