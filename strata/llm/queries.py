@@ -195,6 +195,11 @@ def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join_components(table(spark, sf_dir, "documents"))
 
 
+@register("op4_ngram_links")
+def op4_ngram_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join_links(table(spark, sf_dir, "documents"))
+
+
 @register("op10_lm_score")
 def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"))

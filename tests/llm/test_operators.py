@@ -182,6 +182,27 @@ def test_ngram_join_odd_rows(odd, run):
     assert run("op4_ngram_join", documents=odd.limit(0)).count() == 0
 
 
+def brute_links(rows):
+    rows = [(i, shingles(t)) for i, t in rows]
+    own = [(i, s) for i, s in rows if i is not None and s]
+    out = []
+    for i, s in rows:
+        equal = [k for k, x in own if x == s]
+        n = sum(100 * len(s & x) >= 75 * len(s | x) for _, x in own)
+        out.append((i, len(s), min(equal), len(equal), n - (i is not None)) if equal else (i, len(s), i, *((1, 0) if i is not None and not s else (None, None))))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("weight", [None, 1500])
+def test_ngram_links_are_counted_exactly(frame, monkeypatch, run, weight):
+    if weight:
+        monkeypatch.setattr(ngram_join, "PART_WEIGHT", weight)
+    near = near_copies(groups=6)
+    rows = [*near, *((500 + i, t) for i, t in near[:20]), (3, near[40][1]), (None, near[5][1]), *(r for r in ODD if r[0] != 9)]
+    got = sorted((tuple(r) for r in run("op4_ngram_links", documents=frame(rows)).collect()), key=repr)
+    assert got == brute_links(rows) and max(r[4] or 0 for r in got) > 10
+
+
 def test_signature_tree_finds_all_pairs():
     rnd = random.Random(3)
     sets = [np.array(sorted(rnd.sample(range(60), rnd.randint(1, 30))), np.int64) for _ in range(120)] + [np.arange(40, dtype=np.int64) + k for k in range(30)]
