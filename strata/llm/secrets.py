@@ -38,6 +38,7 @@ class Rule:
     least: int
 
 
+PEM = r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----"
 #: The base rules, then further ones; formats are fixed values.
 BASE = (Rule("assign", r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?""", r"[A-Za-z0-9+/_.=-]", 6),
         Rule("access", r"AKIA", r"[A-Z0-9]", 16),
@@ -47,7 +48,10 @@ RULES = (*BASE,
          Rule("slack", r"xox[abprs]-", r"[A-Za-z0-9-]", 10),
          Rule("google", r"AIza", r"[0-9A-Za-z_-]", 35),
          Rule("stripe", r"[rs]k_(live|test)_", r"[A-Za-z0-9]", 16),
-         Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY", r"-", 5))
+         Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY", r"-", 5),
+         # the key itself: up to its END line; then, for keys cut off before it, what follows the header line
+         Rule("pem_block", rf"{PEM}(?:-?[\t\r\n\x20-\x2C\x2E-\x7E])*-----END [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?", r"-", 5),
+         Rule("pem_body", PEM, r"[A-Za-z0-9+/=\r\n\\]", 16))
 
 LANE = 512
 #: A rule ends in the scan with the first byte of its tail, or with so many if it has no head; the exact

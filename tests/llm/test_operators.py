@@ -86,6 +86,25 @@ def test_secrets_query_and_redaction(odd, run):
     assert run("op1_secrets", documents=odd.limit(0)).count() == 0
 
 
+def test_redaction_takes_the_whole_private_key(frame, run):
+    rnd = random.Random(3)
+    body = ["".join(rnd.choice(string.ascii_letters + string.digits + "+/") for _ in range(64)) for _ in range(12)] + ["Qx9+/w=="]
+    key = lambda name="RSA ", mark="", end="\n", head=(): end.join(mark + x for x in (
+        f"-----BEGIN {name}PRIVATE KEY-----", *head, *body, f"-----END {name}PRIVATE KEY-----"))
+    whole = [key(), key("", "# "), key("EC ", "    ", "\r\n"), key("", end="\\n"), key(head=("Proc-Type: 4,ENCRYPTED", "DEK-Info: AES-128-CBC,0A1B", ""))]
+    rows = [(k, f"before it\n{t}\nafter - it, {'x ' * 400}é") for k, t in enumerate(whole)]
+    rows += [(10, f"{key()}\nbetween them\n{key('EC ')}\nend"), (11, "\n".join(["cut off", *key().split("\n")[:9]])), (12, "-----BEGIN PRIVATE KEY----- is a header line"),
+             (13, "-----BEGIN PUBLIC KEY-----\n" + "word " * 300)]
+    docs = frame(rows)
+    clean = {r["doc_id"]: r["text"] for r in secrets.redact(docs.select("doc_id", "text")).collect()}
+    assert not [i for i, t in clean.items() for line in body if line in t]
+    for k in range(len(whole)):
+        assert clean[k].strip("# ").replace("# <", "<").replace("    <", "<") == f"before it\n<PEM>\nafter - it, {'x ' * 400}é"
+    assert clean[10] == "<PEM>\nbetween them\n<PEM>\nend" and clean[11] == "cut off\n<PEM>"
+    assert clean[12] == "<PEM> is a header line" and clean[13] == dict(rows)[13]
+    assert spark_rows(run("op1_secrets", documents=docs)) == sql_rows(queries.op1_sql(), documents=docs)
+
+
 def test_smallest_automaton_merges_states():
     assert len(secrets.build(["abc|abd|xbc|xbd"]).next) == 4
 
