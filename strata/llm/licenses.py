@@ -73,8 +73,33 @@ def bounds(templates, threshold: float) -> tuple[int, int]:
     return int(min(sizes) * threshold / (2 - threshold)), int(max(sizes) * (2 - threshold) / threshold) + 1
 
 
-def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
-    """``docs`` with licenses (sorted distinct ids at or over the threshold), best_license and best_dice."""
+def window_scores(body: Column, templates, threshold: float) -> Column:
+    """(dice, id) of the windows of the whole text that reach the threshold: as many bigrams as the template has
+    words' pairs (fewer at the text's end), from each bigram on that is one of the template's. A window that begins
+    otherwise has no more of them than the one behind it."""
+    known = [(i, template_bigrams(t), max(len(re.sub(OTHER, " ", t.lower()).split()) - 1, 1)) for i, t in templates]
+    every = F.array(*map(F.lit, sorted({x for _, own, _ in known for x in own})))
+
+    def of_template(b: Column, hits: Column, i: str, own: list[str], length: int) -> Column:
+        n, all_own = len(own), F.array(*map(F.lit, own))
+
+        def score(k):
+            part = F.slice(b, k, length)
+            return F.struct((2.0 * F.size(F.array_intersect(part, all_own)) / (F.size(part) + n)).alias("dice"), F.lit(i).alias("id"))
+
+        starts = F.filter(F.sequence(F.lit(1), F.size(b)), lambda k: F.array_contains(all_own, F.get(b, k - 1)))
+        enough = (2 - threshold) * F.size(F.array_intersect(hits, all_own)) >= threshold * n - 1e-9
+        return F.filter(F.transform(F.when(enough, starts).otherwise(F.array().cast("array<int>")), score), lambda x: x["dice"] >= threshold)
+
+    def of_text(b: Column) -> Column:
+        return F.flatten(F.transform(F.array(F.array_intersect(b, every)), lambda h: F.concat(*[of_template(b, h, *k) for k in known])))
+
+    words = F.array(F.split(normalised(body), " "))
+    return F.flatten(F.transform(F.transform(words, bigrams), of_text))
+
+
+def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD, text: str = "text", windows: bool = False) -> DataFrame:
+    """``docs`` with (``windows``: also of windows within the text, see window_scores) licenses (sorted distinct ids at or over the threshold), best_license and best_dice."""
     known = F.array(*[F.struct(F.lit(i).alias("id"), F.array(*map(F.lit, template_bigrams(t))).alias("bigrams"),
                                F.lit(len(template_bigrams(t))).alias("n")) for i, t in templates])
     least, most = bounds(templates, threshold)
@@ -90,6 +115,8 @@ def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD, tex
         return F.transform(near, lambda t: F.struct((2.0 * F.size(F.array_intersect(s, t["bigrams"])) / (a + t["n"])).alias("dice"), t["id"].alias("id")))
 
     found = F.filter(F.flatten(F.transform(F.transform(words, bigrams), scored)), lambda x: x["dice"] >= threshold)
+    if windows:
+        found = F.concat(found, window_scores(body, templates, threshold))
     best = F.array_min(F.transform("license_scores", lambda x: F.struct((-x["dice"]).alias("dice"), x["id"].alias("id"))))
     return (docs.withColumn("license_scores", found)
             .withColumn("licenses", F.array_sort(F.array_distinct(F.transform("license_scores", lambda x: x["id"]))))

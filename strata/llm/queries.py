@@ -181,6 +181,12 @@ def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.array_join("licenses", ",").alias("licenses"), "best_license", "best_dice")
 
 
+@register("op2_license_windows")
+def op2_license_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), windows=True)
+    return found.select("doc_id", F.array_join("licenses", ",").alias("licenses"), "best_license", "best_dice")
+
+
 @register("op7_sentencepiece")
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), decoded="decoded")

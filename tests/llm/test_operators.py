@@ -122,6 +122,21 @@ def test_licenses(frame, run):
     assert run("op2_licenses", documents=docs.limit(0)).count() == 0
 
 
+def test_licenses_within_a_text(frame, run):
+    texts = {i: max((t for k, t in licenses.TEMPLATES if k == i), key=len) for i in ("MIT", "GPL-3.0")}
+    mit = f"MIT License Copyright (c) 2020 Some One {texts['MIT']} THE SOFTWARE IS PROVIDED AS IS {PROSE} {PROSE} {PROSE}".split()
+    header = f"{PROSE} {texts['GPL-3.0']} This program is distributed in the hope that it will be useful {PROSE} {PROSE}".split()
+    block = lambda mark, w: "\n".join(mark + " ".join(w[k:k + 9]) for k in range(0, len(w), 9))
+    rows = [*ODD, (30, block(" * ", mit)), (31, block("# ", header)), (32, f"{PROSE}. Licensed under the Apache License, Version 2.0. {PROSE}"),
+            (33, " ".join(texts["MIT"].split()[:30]) + f" {PROSE}"), (34, f"{PROSE} Released under the MIT License")]
+    docs = frame(rows)
+    got = {r["doc_id"]: r for r in run("op2_license_windows", documents=docs).collect()}
+    assert [got[k]["licenses"] for k in (30, 31, 32, 33, 34)] == ["MIT", "GPL-3.0", "Apache-2.0", "", "MIT"]
+    assert got[30]["best_dice"] > 0.95 and got[32]["best_dice"] == 1.0 and got[1]["best_license"] is None and got[2]["licenses"] == "" and len(got) == len({i for i, _ in rows})
+    parts = {r["doc_id"]: r["licenses"] for r in run("op2_licenses", documents=docs).collect()}
+    assert all(set(filter(None, x.split(","))) <= set(got[k]["licenses"].split(",")) for k, x in parts.items())
+
+
 # 3 ────────────────────────────────────────────────────────────────────────
 
 CHATS = [(1, 0, "user", "hi"), (1, 1, "assistant", "a\\b <|turn|> [INST]"), (1, 1, "assistant", "a\\b <|turn|> [INST]"), (2, None, None, None),
