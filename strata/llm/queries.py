@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm import chat, decontaminate, licenses, lm, ngram_join, pieces, quality, secrets, sharding, toxicity
+from strata.llm import chat, decontaminate, licenses, lm, merkle, ngram_join, pieces, quality, secrets, sharding, toxicity
 from strata.session import ensure_checkpoint_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -209,3 +209,43 @@ def op4_ngram_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op10_lm_score")
 def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"))
+
+
+def op12_sql(documents: str = "documents") -> str:
+    short = f"lambda h: h[1:{merkle.PIECE_DIGITS}]"
+    joined = lambda x, mark="": f"coalesce(array_to_string({x}, '{mark}'), '')"
+    missing = lambda a, b: f"list_distinct(list_filter({a}, lambda x: NOT list_contains({b}, x)))"
+    lower = lambda nodes, children: f"flatten(list_transform({nodes}, lambda x: {children}))"
+    paragraphs, pieces = "string_split(x, ';')[2:]", f"regexp_extract_all(split_part(x, ':', 2), '.{{{merkle.PIECE_DIGITS}}}')"
+    return rf"""
+WITH w AS (SELECT doc_id, coalesce(text, '') t, coalesce(lead(coalesce(text, '')) OVER o, first_value(coalesce(text, '')) OVER o) nx
+           FROM {documents} WINDOW o AS (ORDER BY doc_id NULLS FIRST, coalesce(text, ''))),
+e AS (SELECT doc_id, t, nx, substr(t, 1, length(t) - length(t) // 4) || substr(nx, 1, length(t) // 4) ed FROM w),
+x AS (SELECT DISTINCT unnest([t, ed]) x FROM e),
+h AS (SELECT x, list_transform(string_split(x, chr(10) || chr(10)), lambda s: list_transform(string_split(s, chr(10)),
+             lambda p: list_transform(regexp_extract_all(p, '{merkle.PIECE}'), lambda q: md5(q)))) tree FROM x),
+p AS (SELECT x, tree, list_transform(tree, lambda s: list_transform(s, lambda p: md5({joined('p')}))) ph,
+             list_transform(tree, lambda s: list_transform(s, lambda p: md5({joined('p')})[1:{merkle.NODE_DIGITS}] || ':'
+                 || {joined(f'list_transform(p, {short})')})) pw FROM h),
+s AS (SELECT x, tree, list_transform(ph, lambda s: md5({joined('s')})) sh,
+             list_transform(range(1, len(ph) + 1), lambda i: md5({joined('ph[i]')})[1:{merkle.NODE_DIGITS}] || ';' || {joined('pw[i]', ';')}) sw FROM p),
+f AS (SELECT x, sw, len(list_distinct(list_transform(flatten(flatten(tree)), {short}))) n, sha256({joined('sh')}) root FROM s),
+g AS (SELECT x, sw, n, root, root || '.' || n || '|' || {joined('sw', '|')} fp FROM f),
+j AS (SELECT doc_id, a.fp fingerprint, b.fp edited_fingerprint, length(t) n_chars, sha256(ed) edited_sha256, unnest([1, 2]) side,
+             a.root ra, a.n na, a.sw sa, unnest([b.root, c.root]) rb, unnest([b.n, c.n]) nb, unnest([b.sw, c.sw]) sb
+      FROM e JOIN g a ON a.x = t JOIN g b ON b.x = ed JOIN g c ON c.x = nx),
+k AS (SELECT *, {lower(missing('sa', 'sb'), paragraphs)} pa, {lower(missing('sb', 'sa'), paragraphs)} pb FROM j),
+l AS (SELECT *, {lower(missing('pa', 'pb'), pieces)} qa, {lower(missing('pb', 'pa'), pieces)} qb FROM k),
+m AS (SELECT *, CASE WHEN ra = rb THEN 1.0::double WHEN na + nb = 0 THEN 0.0::double
+                ELSE 1.0::double - (len({missing('qa', 'qb')}) + len({missing('qb', 'qa')}))::double / (na + nb)::double END near FROM l)
+SELECT a.doc_id, a.n_chars::bigint n_chars, a.edited_sha256, a.fingerprint, a.edited_fingerprint, a.near near_edited, b.near near_next
+FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, fingerprint, edited_fingerprint ORDER BY near) k FROM m WHERE side = 1) a
+JOIN (SELECT *, row_number() OVER (PARTITION BY doc_id, fingerprint, edited_fingerprint ORDER BY near) k FROM m WHERE side = 2) b
+  ON a.doc_id IS NOT DISTINCT FROM b.doc_id AND a.fingerprint = b.fingerprint AND a.edited_fingerprint = b.edited_fingerprint AND a.k = b.k"""
+
+
+@register("op12_fingerprints", op12_sql())
+def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = merkle.compare_with_edits(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars"),
+                       F.sha2("edited_text", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
