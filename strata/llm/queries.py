@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm import chat, decontaminate, licenses, lm, merkle, ngram_join, pieces, quality, secrets, sharding, toxicity
+from strata.llm import align, chat, decontaminate, hard_negatives, licenses, lm, merkle, ngram_join, pieces, quality, secrets, sharding, toxicity
 from strata.session import ensure_checkpoint_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -249,3 +249,35 @@ def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = merkle.compare_with_edits(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return rows.select("doc_id", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars"),
                        F.sha2("edited_text", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
+@register("op11_alignment")
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = align.corpus_links(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
+    n_links = F.size("links").cast("long")
+    return rows.select("doc_id", "n_a", "n_b", n_links.alias("n_groups"), n_links.alias("n_links"), "n_best", "count_sum", "groups_sha256")
+
+
+def op13_sql(embeddings: str = "embeddings") -> str:
+    order = "PARTITION BY a.id, a.label, a.v"
+    return f"""
+WITH q AS (SELECT vec_id id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                  list_transform(embedding, lambda x: floor({hard_negatives.SCALE} * x::double)::bigint) v FROM {embeddings}
+           WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+a AS (SELECT DISTINCT * FROM q WHERE id % 50 = 0),
+s AS (SELECT a, b.id, b.label, list_dot_product(a.v::double[], b.v::double[])::bigint score FROM a, q b),
+p AS (SELECT a, id, score FROM s WHERE label = a.label AND id <> a.id
+      QUALIFY row_number() OVER ({order} ORDER BY score DESC, id) <= 5),
+n AS (SELECT DISTINCT a, score bar FROM p),
+r AS (SELECT n.a, n.bar, s.id, s.score, row_number() OVER ({order.replace('a.', 'n.a.')}, n.bar ORDER BY s.score DESC, s.id) AS rank
+      FROM n JOIN s ON s.a = n.a AND s.label <> n.a.label AND 50 * n.bar <= 100 * s.score AND 100 * s.score <= 95 * n.bar)
+SELECT p.a.id anchor_id, p.id positive_id, rank::int AS rank, r.id negative_id, p.score positive_score, r.score negative_score
+FROM p JOIN r ON r.a = p.a AND r.bar = p.score WHERE rank <= 3"""
+
+
+@register("op13_hard_negatives", op13_sql())
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "embeddings")
+    moved = given.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hard_negatives.mine(hard_negatives.quantised(moved), F.col("id") % 50 == 0)
