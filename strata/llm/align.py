@@ -37,8 +37,11 @@ from strata.session import scratch_path
 
 A_FILE, B_FILE = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe_32k.model"
 SPACE_MARK = "▁"
-#: Windows remembered by a task, and pairs shared with the tasks.
-KNOWN_WINDOWS, MOST_SHARED = 300_000, 4_000_000
+#: How a byte-level vocabulary cuts words; fixed value.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+UNITS_A_CALL = 500
+#: Units and windows remembered by a task, and pairs shared with the tasks.
+KNOWN_UNITS, KNOWN_WINDOWS, MOST_SHARED = 200_000, 200_000, 4_000_000
 
 #: White space beyond ASCII by UTF-8 bytes, and the space mark; fixed values.
 WIDE_SPACES = [b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", *[b"\xe2\x80" + bytes([k]) for k in (*range(0x80, 0x8B), 0xA8, 0xA9, 0xAF)],
@@ -63,6 +66,21 @@ def token_bytes_a(vocabulary: bytes) -> list[bytes]:
     return out
 
 
+def by_rank(vocabulary: bytes) -> bool:
+    """Whether the vocabulary is plainly byte-level and its ids follow its merges."""
+    given = json.loads(vocabulary)
+    kind, model = given.get("pre_tokenizer") or {}, given["model"]
+    if given.get("normalizer") or kind.get("type") != "ByteLevel" or not kind.get("use_regex", True) or kind.get("add_prefix_space"):
+        return False
+    merged = [model["vocab"]["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
+    return all(x < y for x, y in itertools.pairwise(merged))
+
+
+def ranks_of(vocabulary: bytes, tokens: list[bytes]) -> dict[bytes, int]:
+    added = {t["id"] for t in json.loads(vocabulary).get("added_tokens", [])}
+    return {t: i for i, t in enumerate(tokens) if t and i not in added}
+
+
 def token_bytes_b(model) -> list[bytes]:
     pieces = [model.id_to_piece(i) for i in range(model.get_piece_size())]
     return [bytes([int(p[3:5], 16)]) if model.is_byte(i) else p.replace(SPACE_MARK, " ").encode() for i, p in enumerate(pieces)]
@@ -87,34 +105,69 @@ def units(data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Vocabularies:
-    """Both tokenizers with the bytes of their tokens. The id behind a vocabulary's last marks a unit that it does not give back."""
+    """Both tokenizers with the bytes of their tokens. The id behind a vocabulary's last marks a unit that it does not give back.
+
+    A's merges are applied by rank, many units a call, where its ids follow its merges; vocabularies of another order go
+    to the library that the file is made for."""
 
     def __init__(self, a: bytes, b: bytes):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import sentencepiece
-        from tokenizers import Tokenizer as Library
+        import tiktoken
 
-        self.a, self.b = Library.from_str(a.decode()), sentencepiece.SentencePieceProcessor(model_proto=b)
-        self.a.encode_special_tokens = True
+        self.b, self.a, self.ranked = sentencepiece.SentencePieceProcessor(model_proto=b), None, None
         self.bytes_a, self.bytes_b = token_bytes_a(a), token_bytes_b(self.b)
+        if by_rank(a):
+            self.ranked = tiktoken.Encoding("a", pat_str=PATTERN, mergeable_ranks=ranks_of(a, self.bytes_a), special_tokens={})
+        else:
+            from tokenizers import Tokenizer as Library
+
+            self.a = Library.from_str(a.decode())
+            self.a.encode_special_tokens = True
+        self.blank = np.arange(256) <= 0x20  # what ends a unit in white space, or may: all bytes behind a character's first
+        self.blank[0x80:] = True
+        self.names_a, self.names_b = (list(map(str, range(len(x) + 1))) for x in (self.bytes_a, self.bytes_b))
         sizes = lambda tokens: np.array([*map(len, tokens), 0], np.int64)
         spaced = lambda tokens: np.array([*[t.startswith(b" ") for t in tokens], False])
         self.size_a, self.size_b = sizes(self.bytes_a), sizes(self.bytes_b)
         self.space_a, self.space_b = spaced(self.bytes_a), spaced(self.bytes_b)
-
-    def _checked(self, raw: list[bytes], lists: list[list[int]], tokens: list[bytes]):
-        lists = [x if b"".join([tokens[i] for i in x]) == r else [len(tokens)] for x, r in zip(lists, raw, strict=True)]
-        size = np.fromiter(map(len, lists), np.int64, len(lists))
-        return np.fromiter(itertools.chain.from_iterable(lists), np.int32, int(size.sum())), size
+        self.flat_a, self.flat_b = (np.frombuffer(b"".join(x), np.uint8) for x in (self.bytes_a, self.bytes_b))
+        self.begin_a, self.begin_b = (np.cumsum(x) - x for x in (self.size_a, self.size_b))
+
+    def _checked(self, ids, size, whole, lengths, tokens, sizes, flat, begin):
+        """(ids, size), with units whose tokens' bytes are not theirs (``whole``, of these lengths) marked as one bad token."""
+        n = sizes[ids]
+        upto = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum(size)])]
+        if np.array_equal(np.diff(upto), lengths) and np.array_equal(flat[ranges(begin[ids], n)], whole):
+            return ids, size
+        at, to = np.concatenate([[0], np.cumsum(size)]).tolist(), np.concatenate([[0], np.cumsum(lengths)]).tolist()
+        raw, each = whole.tobytes(), ids.tolist()
+        lists = [each[i:j] for i, j in itertools.pairwise(at)]
+        return flattened([x if b"".join([tokens[t] for t in x]) == raw[i:j] else [len(tokens)] for x, (i, j) in zip(lists, itertools.pairwise(to), strict=True)])
 
     def encode_a(self, data, starts, ends):
-        raw = cut(data, starts, ends)
-        return self._checked(raw, [e.ids for e in self.a.encode_batch([r.decode() for r in raw], add_special_tokens=False)], self.bytes_a)
+        lengths, whole = ends - starts, data[ranges(starts, ends - starts)]
+        if self.ranked is None:
+            ids, size = flattened([e.ids for e in self.a.encode_batch_fast([r.decode() for r in cut(data, starts, ends)], add_special_tokens=False)])
+        else:  # units one after another are a text that is cut as they are, up to one that ends in white space
+            to = np.cumsum(lengths)
+            raw, edges = whole.tobytes(), np.flatnonzero(self.blank[data[ends - 1]]) + 1
+            edges = np.unique(np.concatenate([edges, np.arange(0, len(starts), UNITS_A_CALL), [len(starts)]]))
+            calls = [0, *to[edges[1:] - 1].tolist()]
+            ids = np.array(list(itertools.chain.from_iterable(self.ranked.encode_ordinary(raw[x:y].decode()) for x, y in itertools.pairwise(calls))), np.int32)
+            size = np.diff(np.searchsorted(np.cumsum(self.size_a[ids]), to, "left") + 1, prepend=0)
+        return self._checked(ids, size, whole, lengths, self.bytes_a, self.size_a, self.flat_a, self.begin_a)
 
     def encode_b(self, data, starts, ends):
         """The library puts a space before what it encodes, so the unit's own is left out."""
-        raw = cut(data, starts, ends)
-        return self._checked(raw, self.b.encode([r[1:].decode() for r in raw], num_threads=1), self.bytes_b)
+        lengths = ends - starts
+        ids, size = flattened(self.b.encode([r[1:].decode() for r in cut(data, starts, ends)], num_threads=1))
+        return self._checked(ids, size, data[ranges(starts, lengths)], lengths, self.bytes_b, self.size_b, self.flat_b, self.begin_b)
+
+
+def flattened(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    size = np.fromiter(map(len, lists), np.int64, len(lists))
+    return np.fromiter(itertools.chain.from_iterable(lists), np.int32, int(size.sum())), size
 
 
 def cut(data, starts, ends) -> list[bytes]:
@@ -166,7 +219,7 @@ class Windows:
         unique, first, which = np.unique(h, return_index=True, return_inverse=True)
         if len(self.groups) + len(unique) > self.limit:
             self.clear()
-        entry = np.fromiter((self.by_hash.get(x, -1) for x in unique.tolist()), np.int64, len(unique))
+        entry = np.fromiter(map(self.by_hash.get, unique.tolist(), itertools.repeat(-1)), np.int64, len(unique))
         new = np.flatnonzero(entry < 0)
         at = first[new]
         entry[new] = self.remember(a, a0[at], a1[at], b, b0[at], b1[at])
@@ -190,7 +243,7 @@ class Windows:
         _, at_a, at_b = np.intersect1d(ends_a, ends_b, assume_unique=True, return_indices=True)
         pairs = ids_a[at_a].astype(np.int64) * len(self.voc.bytes_b) + ids_b[at_b]
         n_links = np.diff(np.searchsorted(at_a, np.concatenate([[0], np.cumsum(n_a)])))
-        a_text, b_text = list(map(str, ids_a.tolist())), list(map(str, ids_b.tolist()))
+        a_text, b_text = ([names[k] for k in ids.tolist()] for names, ids in ((self.voc.names_a, ids_a), (self.voc.names_b, ids_b)))
         a_cut, b_cut = [0, *(at_a + 1).tolist()], [0, *(at_b + 1).tolist()]
         groups = [",".join(a_text[i:j]) + "|" + ",".join(b_text[k:m])
                   for i, j, k, m in zip(a_cut[:-1], a_cut[1:], b_cut[:-1], b_cut[1:], strict=True)]
@@ -205,7 +258,7 @@ class Windows:
 
 def aligned(voc: Vocabularies):
     """The kernel of ``align``: (n_a, n_b, links, groups) of the rows of a slice."""
-    known_a, known_b, windows = Remembered(voc.encode_a), Remembered(voc.encode_b), Windows(voc)
+    known_a, known_b, windows = Remembered(voc.encode_a, KNOWN_UNITS), Remembered(voc.encode_b, KNOWN_UNITS), Windows(voc)
     hashing = Tokenizer(np.ones(256, bool), lower=False)
     bad_a, bad_b = len(voc.bytes_a), len(voc.bytes_b)
 
