@@ -123,6 +123,17 @@ def first_number_sql(e: str) -> str:
     return f"CASE WHEN regexp_extract({e}, {sql_str(_NUMBER)}, 1) <> '' THEN CAST(regexp_extract({e}, {sql_str(_NUMBER)}, 1) AS DOUBLE) END"
 
 
+# A double as Python prints it: the shortest digits, plain from 1e-4 to 1e16, at least one digit behind the point.
+def shown_float(col) -> Column:
+    v = _c(col)
+    size = F.abs(v)
+    plain = F.regexp_replace(F.regexp_replace(v.cast("decimal(38,18)").cast("string"), "0+$", ""), r"\.$", ".0")
+    mantissa = F.regexp_replace(F.substring_index(v.cast("string"), "E", 1), r"\.0$", "")
+    power = F.substring_index(v.cast("string"), "E", -1).cast("int")
+    scientific = F.concat(mantissa, F.lit("e"), F.when(power < 0, "-").otherwise("+"), F.lpad(F.abs(power).cast("string"), 2, "0"))
+    return F.when((size >= 1e-4) & (size < 1e16), plain).when(size == 0, "0.0").otherwise(scientific)
+
+
 # P7 summary trim: first two pieces of split('. '), ensure a final '.'.
 def summary_trim(col) -> Column:
     parts = F.split(_c(col), r"\. ", 3)

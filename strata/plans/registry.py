@@ -17,6 +17,7 @@ from strata.functions import predicates as P
 from strata.functions import text as T
 from strata.functions.regex import sql_str
 from strata.operators import handler, keyword, providers
+from strata.plans import requests as RQ
 from strata.sources.tables import (ASSISTANT_REPLIES_SQL, USER_TURNS_SQL, assistant_replies, table,
                                    user_turns)
 
@@ -116,9 +117,9 @@ SELECT conv_id, turn,
   CASE WHEN {_C[3]} THEN {_C[1]} END AS value,
   CASE WHEN {_C[3]} THEN {_C[2]} END AS result,
   CASE WHEN {_CS[3]} THEN {_CS[0]} END AS strict_ord
-FROM conversations""")
+FROM ({RQ.TURNS_AND_ASKS_SQL})""")
 def q_unit_convert(spark, sf):
-    c = table(spark, sf, "conversations").select("conv_id", "turn", "text")
+    c = RQ.turns_and_asks(spark, sf)
     c = handler.conversions(c, "text", mode="compat", out="m")
     c = handler.conversions(c, "text", mode="strict", out="s")
     return c.select("conv_id", "turn", F.col("m.ord").alias("conv_ord"), F.col("m.value").alias("value"),
@@ -138,9 +139,9 @@ def q_gk_gate(spark, sf):
 
 @register("q_math_gate", f"""
 SELECT conv_id, turn, {P.math_gate_sql('text')} AS is_math, {T.math_normalize_sql('text')} AS expr
-FROM conversations""")
+FROM ({RQ.TURNS_AND_ASKS_SQL})""")
 def q_math_gate(spark, sf):
-    c = table(spark, sf, "conversations")
+    c = RQ.turns_and_asks(spark, sf)
     return c.select("conv_id", "turn", P.math_gate(F.col("text")).alias("is_math"),
                     T.math_normalize("text").alias("expr"))
 
@@ -151,9 +152,11 @@ _KW_OUT = ["kw_label", "kw_best", "kw_second", "kw_margin", "kw_confidence", "kw
 
 
 @register("q_keyword_score",
-          keyword.classify_sql("SELECT doc_id, text FROM documents", ["doc_id"], "text", R.keyword_rules()))
+          keyword.classify_sql(f"SELECT doc_id, text FROM documents UNION ALL SELECT -id AS doc_id, query AS text FROM ({RQ.ASKS_SQL})", ["doc_id"],
+                               "text", R.keyword_rules()))
 def q_keyword_score(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", "text")
+    d = table(spark, sf, "documents").select("doc_id", "text").unionByName(
+        RQ.asks(spark, sf).select((-F.col("id")).alias("doc_id"), F.col("query").alias("text")))
     return keyword.classify(d, "text").select("doc_id", *_KW_OUT)
 
 
@@ -179,15 +182,19 @@ def q_provider_select(spark, sf):
                     s["reason"].alias("reason"))
 
 
+#: Names that requests ask for, by their number.
+_ASKED = ["auto", " Gemini", "groq", "", "other"]
+_ASKED_SQL = f"([{', '.join(map(sql_str, _ASKED))}])[CAST((conv_id + turn) % {len(_ASKED)} AS INTEGER) + 1]"
+
+
 @register("q_attempt_order", f"""
-SELECT conv_id, turn, array_to_string({providers.attempt_order_sql('text', 'role')}, '>') AS attempts
+SELECT conv_id, turn, array_to_string({providers.attempt_order_sql('text', _ASKED_SQL)}, '>') AS attempts
 FROM conversations""")
 def q_attempt_order(spark, sf):
-    # The role column stands in for a per-request provider name: "user"/"assistant"
-    # are not provider names, so they exercise the "any other name" branch.
     c = table(spark, sf, "conversations")
-    return c.select("conv_id", "turn",
-                    F.array_join(providers.attempt_order(F.col("text"), F.col("role")), ">").alias("attempts"))
+    asked = F.element_at(F.array(*map(F.lit, _ASKED)), F.pmod(F.col("conv_id") + F.col("turn"), F.lit(len(_ASKED))).cast("int") + 1)
+    return c.withColumn("asked", asked).select(
+        "conv_id", "turn", F.array_join(providers.attempt_order(F.col("text"), F.col("asked")), ">").alias("attempts"))
 
 
 @register("q_llm_cost", f"""
@@ -369,7 +376,7 @@ def _voters(spark, sf):
     votes = (v1.select("vec_id", F.lit(1).alias("pos"), F.col("c_label").alias("label"))
              .unionByName(v2.select("vec_id", F.lit(2).alias("pos"), F.col("nn_label").alias("label")))
              .unionByName(v3.select("vec_id", F.lit(3).alias("pos"), F.col("c_label").alias("label"))))
-    conf = v1.select("vec_id", F.col("similarity").alias("confidence"))
+    conf = v1.select("vec_id", ((1 + F.col("similarity")) / 2).alias("confidence"))  # the cosine, from 0 to 1
     return votes, conf
 
 
@@ -403,9 +410,9 @@ def q_vote_majority(spark, sf):
 WITH {_NN},
 {_CENT},
 cat AS (SELECT DISTINCT label FROM embeddings)
-SELECT m.vec_id, CASE WHEN m.label IS NOT NULL AND v.sim >= {max(R.DEFAULT_ALPHA, R.ENSEMBLE_FLOOR)} AND cat.label IS NOT NULL THEN m.label END AS label,
-       m.n_votes, round(v.sim, 3) AS confidence,
-       (m.label IS NOT NULL AND v.sim >= {max(R.DEFAULT_ALPHA, R.ENSEMBLE_FLOOR)} AND cat.label IS NOT NULL) AS hit
+SELECT m.vec_id, CASE WHEN m.label IS NOT NULL AND (1 + v.sim) / 2 >= {max(R.DEFAULT_ALPHA, R.ENSEMBLE_FLOOR)} AND cat.label IS NOT NULL THEN m.label END AS label,
+       m.n_votes, round((1 + v.sim) / 2, 3) AS confidence,
+       (m.label IS NOT NULL AND (1 + v.sim) / 2 >= {max(R.DEFAULT_ALPHA, R.ENSEMBLE_FLOOR)} AND cat.label IS NOT NULL) AS hit
 FROM maj m JOIN v1s v ON v.vec_id = m.vec_id AND v.rn = 1 LEFT JOIN cat ON cat.label = m.label""")
 def q_vote_floor(spark, sf):
     votes, conf = _voters(spark, sf)
@@ -422,6 +429,7 @@ def q_ml_ensemble(spark, sf):
 
 # ── step 7: pricing ──────────────────────────────────────────────────────────
 
+from strata.operators import ordered as OR  # noqa: E402
 from strata.operators import pricing as PR  # noqa: E402
 
 _TIER = PR.tier_sql("value / 1000")
@@ -449,7 +457,7 @@ SELECT event_id, asof_price, {_ASOF_TIER[0]} AS tier FROM w WHERE kind = 1""")
 def q_price_asof(spark, sf):
     e = table(spark, sf, "events")
     feed = e.filter(F.col("event_type") == _PRICE_FEED).select("ts", "event_id", (F.col("value") / 1000).alias("price"))
-    a = PR.asof(e.select("event_id", "ts"), feed, ["event_id"], bucket_seconds=3600)
+    a = OR.asof(e.select("event_id", "ts"), feed, ["event_id"])
     return a.select("event_id", "asof_price", PR.tier("asof_price")["tier"].alias("tier"))
 
 
@@ -475,12 +483,8 @@ FROM u""")
 def q_price_hold(spark, sf):
     e = table(spark, sf, "events").select(F.col("event_type").alias("feed"), "event_id", "ts",
                                           (F.col("value") / 1000).alias("price"))
-    k = PR.sample_and_hold(e, "feed", "ts", "event_id", hold_seconds=_HOLD_S)
-    kept_feed = (e.join(k.filter("kept"), ["feed", "event_id"]).select("feed", "ts", "event_id", "price"))
-    held = PR.asof(e.select("feed", "event_id", "ts"), kept_feed, ["feed", "event_id"], by=["feed"],
-                   bucket_seconds=86400)
-    return (k.join(held, ["feed", "event_id"])
-            .select("feed", "event_id", "kept", F.col("asof_price").alias("held_price")))
+    k = OR.sample_and_hold(e, "feed", "ts", "event_id", "price", hold_seconds=_HOLD_S)
+    return k.select("feed", "event_id", "kept", F.col("held").alias("held_price"))
 
 
 # ── steps 9-11: knowledge, cascade, stats ────────────────────────────────────
@@ -492,9 +496,9 @@ from strata.plans import cascade as CA  # noqa: E402
 @register("q_summary", f"""
 SELECT doc_id, {T.summary_trim_sql('text')} AS summary,
        {T.disambiguation_sql('text', T.rstrip_chars_sql(T.canon_sql("split_part(text, chr(10), 1)"), '?.!'), "split_part(text, chr(10), 1)")} AS disambiguation
-FROM documents""")
+FROM ({RQ.ENTRIES_SQL})""")
 def q_summary(spark, sf):
-    d = table(spark, sf, "documents")
+    d = RQ.entries(spark, sf)
     first = F.substring_index("text", "\n", 1)
     return d.select("doc_id", T.summary_trim("text").alias("summary"),
                     T.disambiguation(F.col("text"), T.rstrip_chars(T.canon(first), "?.!"), first).alias("disambiguation"))
@@ -506,12 +510,14 @@ def _knowledge(spark, sf):
 
 @register("q_topic_join", f"""
 WITH kb AS {KN.best_sql()},
-x AS (SELECT conv_id, turn, {P.gk_gate_sql('query')} AS gk, {T.topic_sql('query')} AS topic FROM {U})
+x AS (SELECT conv_id, turn, {P.gk_gate_sql('query')} AS gk, {T.topic_sql('query')} AS topic
+      FROM (SELECT conv_id, turn, query FROM {U} UNION ALL SELECT -1 - id, 0, query FROM ({RQ.PAGE_ASKS_SQL})))
 SELECT x.conv_id, x.turn, x.topic, kb.source_rank, kb.doc_key, kb.summary
 FROM x LEFT JOIN kb ON x.gk AND x.topic <> '' AND kb.topic = x.topic
 WHERE x.gk""")
 def q_topic_join(spark, sf):
-    k = KN.lookup(user_turns(spark, sf), "query", _knowledge(spark, sf))
+    pages = RQ.page_asks(spark, sf).select((-1 - F.col("id")).alias("conv_id"), F.lit(0).alias("turn"), "query")
+    k = KN.lookup(user_turns(spark, sf).unionByName(pages), "query", _knowledge(spark, sf))
     return k.filter("gk_gate").select("conv_id", "turn", "topic", "source_rank", "doc_key", "summary")
 
 
@@ -587,7 +593,7 @@ SELECT conv_id, turn, layer,
        CASE WHEN sel_provider = 'gemini' THEN {providers.flat_cost_sql(_PT + ' + ' + _CT)}
             ELSE {providers.split_cost_sql(_PT, _CT)} END END AS cost,
   {_STEPS_SQL} AS steps,
-  CASE WHEN layer = '0A' THEN h0a_answer WHEN layer = '0B' THEN summary WHEN layer = '1' THEN kw_label
+  CASE WHEN layer = '0A' THEN h0a_answer WHEN layer = '0B' THEN summary WHEN layer = '1' THEN 'Handled by TinyML (' || kw_label || ')'
        WHEN layer = '2' THEN 'item-' || match_id ELSE answer END AS answer,
   CASE WHEN layer = '5' AND answer IS NULL THEN 'Layer 5: LLM (Error)'
        WHEN layer = '5' THEN 'Layer 5: LLM (' || upper(sel_provider[1]) || sel_provider[2:] || ' - ' || sel_model || ')'
@@ -600,7 +606,7 @@ _CASCADE_COLS = ["conv_id", "turn", "layer", "handled_by", "label", "cost_saved"
 
 @register("q_cascade", _CASCADE_SQL)
 def q_cascade(spark, sf):
-    return decisions(spark, sf).select(*_CASCADE_COLS)
+    return decisions(spark, sf).withColumn("steps", CA.steps_text()).select(*_CASCADE_COLS)
 
 
 _CONV = R.conversion_rules()[0]
@@ -610,9 +616,12 @@ _HI = R.greeting_rules()[0]
 @register("q_cascade_handled", f"""
 SELECT l_orderkey, l_linenumber, '0A' AS layer,
   CASE l_linenumber % 4 WHEN 1 THEN 'conversion' WHEN 2 THEN 'greeting' ELSE 'math' END AS handled_by,
-  CASE l_linenumber % 4 WHEN 1 THEN {sql_str(_CONV[4])} WHEN 2 THEN {sql_str(_HI[2])}
-       WHEN 3 THEN CAST(CAST(l_quantity AS BIGINT) * l_linenumber - 1 AS VARCHAR)
-       ELSE CAST(CAST(l_quantity AS BIGINT) + l_linenumber AS VARCHAR) END AS answer
+  CASE l_linenumber % 4
+       WHEN 1 THEN CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) || {sql_str(f'.0 {_CONV[1]} = ')} ||
+            CAST(round(l_quantity::DOUBLE * {_CONV[3]}, 4) AS VARCHAR) || {sql_str(f' {_CONV[2]} ({_CONV[4]})')}
+       WHEN 2 THEN {sql_str(_HI[2])}
+       WHEN 3 THEN '= ' || CAST(CAST(l_quantity AS BIGINT) * l_linenumber - 1 AS VARCHAR)
+       ELSE '= ' || CAST(CAST(l_quantity AS BIGINT) + l_linenumber AS VARCHAR) END AS answer
 FROM lineitem""")
 def q_cascade_handled(spark, sf):
     """Requests made from every line item, which layer 0A answers: sums, products, conversions, greetings; each
@@ -687,7 +696,7 @@ FROM events
 WINDOW w AS (ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
 def q_running(spark, sf):
     e = table(spark, sf, "events")
-    r = TR.running_totals(e, "ts", ["ts", "event_id"], {
+    r = OR.running_totals(e, ["ts", "event_id"], {
         "run_total": F.lit(1).cast("long"),
         "run_local": F.when(F.col("event_type") != _PRICE_FEED, 1).otherwise(0).cast("long"),
         "run_spent": F.when(F.col("event_type") == _PRICE_FEED, F.col("value") / 1000).otherwise(F.lit(0.0)),

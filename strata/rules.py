@@ -206,6 +206,13 @@ PRICE_TIERS = [
     ("expensive", 0.030, 0.35, "Expensive", "#F59E0B"),
     ("spike", float("inf"), 0.25, "Spike", "#EF4444"),
 ]
+# Explanation of a tier: price per 1000 tokens, then alpha.
+TIER_EXPLANATIONS = {
+    "cheap": "LLM rates cheap ($%s/1k) → strict threshold (α=%s) for maximum accuracy",
+    "normal": "LLM normal market rate ($%s/1k) → balanced routing (α=%s)",
+    "expensive": "LLM rates elevated ($%s/1k) → looser threshold (α=%s) to save costs",
+    "spike": "LLM rate spike ($%s/1k) → aggressive local handling (α=%s)",
+}
 PRICE_HOLD_SECONDS = 60
 DEFAULT_ALPHA = 0.5
 DEFAULT_TIER = "normal"
@@ -221,6 +228,37 @@ LAYERS = [
     ("5", "LLM Inference", "Layer 5: LLM"),
 ]
 
+# Identities that the math layer knows by heart: (form, answer).
+IDENTITIES = [
+    ("sinx/cosx", "tan(x)"),
+    ("sin(x)/cos(x)", "tan(x)"),
+    ("cosx/sinx", "cot(x)"),
+    ("cos(x)/sin(x)", "cot(x)"),
+    ("sinx/tanx", "cos(x)"),
+    ("sin(x)/tan(x)", "cos(x)"),
+    ("sin(x)^2 + cos(x)^2", "1"),
+    ("sin(x)**2 + cos(x)**2", "1"),
+    ("sin^2(x) + cos^2(x)", "1"),
+]
+
+# What a decision's handler is shown as: (handled_by, label, layer, cost); the last one stands for all others.
+HANDLERS = [
+    ("math", "Math Engine", "0A", "FREE (~1ms)"),
+    ("greeting", "Greetings", "0A", "FREE (~1ms)"),
+    ("conversion", "Unit Converter", "0A", "FREE (~1ms)"),
+    ("facts", "Facts Database", "0A", "FREE (~1ms)"),
+    ("wikipedia", "Wikipedia", "0B", "FREE (~500ms)"),
+    ("duckduckgo", "DuckDuckGo", "0B", "FREE (~800ms)"),
+    ("tinyml", "TinyML Classifier", "1", "FREE (~2ms)"),
+    ("cache", "MinHash LSH Cache", "2", "FREE (~1ms)"),
+    ("embedder", "Semantic Embedder", "3", "FREE (~50ms)"),
+    ("ensemble", "Ensemble ML (α)", "4", "FREE (~400ms)"),
+    ("groq", "Groq (Paid)", "5", "PAID (~900ms)"),
+    ("gemini", "Gemini (Paid)", "5", "PAID (~1200ms)"),
+    ("gpt4", "LLM Fallback", "5", "PAID (~1000ms)"),
+    ("unknown", "Unknown Router", "?", "N/A"),
+]
+
 # Evaluation scorecard.
 EVAL_FUNCTIONAL_POINTS = 90.0
 EVAL_BURST_FAST_MS = 150.0

@@ -1,4 +1,4 @@
-"""Trace log: append, scan, truncate (S1-S3) and the analytics over it.
+"""Trace log: append, scan, truncate (S1-S3) and the analytics over it (W1, W2; W4 is in ``operators/ordered``).
 
 Traces are JSON lines with an explicit schema (no inference).  A bad line does
 not blank the whole log (the reference returns nothing then): it is kept in
@@ -27,7 +27,7 @@ TRACE_SCHEMA = Ty.StructType([
     Ty.StructField("price_tier", Ty.StringType()),
     Ty.StructField("model", Ty.StringType()),
     Ty.StructField("selection_reason", Ty.StringType()),
-    Ty.StructField("steps", Ty.StringType()),
+    Ty.StructField("steps", Ty.ArrayType(STEP)),
     Ty.StructField("timestamp", Ty.StringType()),
     # ours: enough to recompute the statistics from the log alone
     Ty.StructField("provider", Ty.StringType()),
@@ -91,26 +91,3 @@ def newest_per_group(df: DataFrame, group: str, order_cols: list[str], n: int =
     partial group limit before the shuffle, so a hot group ships at most n rows per map task."""
     w = Window.partitionBy(group).orderBy(*[F.col(c).desc() for c in order_cols])
     return df.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= n)
-
-
-def running_totals(df: DataFrame, ts: str, order_cols: list[str], measures: dict[str, object],
-                   bucket: str = "day") -> DataFrame:
-    """Cumulative sums in (ts, order) order without a single-partition window.
-
-    Rows are grouped by time bucket; each bucket computes its own running sums and adds
-    the totals of all earlier buckets (a small per-bucket table)."""
-    b = F.date_trunc(bucket, F.col(ts))
-    x = df.withColumn("__b", b)
-    for name, expr in measures.items():
-        x = x.withColumn(f"__m_{name}", expr)
-    w = Window.partitionBy("__b").orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, 0)
-    for name in measures:
-        x = x.withColumn(f"__r_{name}", F.sum(f"__m_{name}").over(w))
-    tot = x.groupBy("__b").agg(*[F.sum(f"__m_{name}").alias(f"__t_{name}") for name in measures])
-    wb = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    off = tot.select("__b", *[F.coalesce(F.sum(f"__t_{name}").over(wb), F.lit(0)).alias(f"__o_{name}")
-                              for name in measures])
-    x = x.join(off, "__b")
-    for name in measures:
-        x = x.withColumn(name, F.col(f"__r_{name}") + F.col(f"__o_{name}"))
-    return x.drop("__b", *[c for c in x.columns if c.startswith("__m_") or c.startswith("__r_") or c.startswith("__o_")])

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from strata import rules as R
 from strata.functions import predicates as P
 from strata.functions import text as T
-from strata.operators import handler, keyword, minhash as MH, pricing as PR, providers, vote as VO
+from strata.operators import handler, keyword, minhash as MH, ordered, pricing as PR, providers, vote as VO
 from strata.plans import evaluate as EV
 
 
@@ -85,7 +85,7 @@ def test_sample_and_hold(spark):
     t0 = dt.datetime(2024, 1, 1)
     rows = [("f", i, t0 + dt.timedelta(seconds=s)) for i, s in enumerate([0, 59, 60, 100, 121])]
     df = spark.createDataFrame(rows, "feed string, event_id long, ts timestamp")
-    k = {r["event_id"]: r["kept"] for r in PR.sample_and_hold(df, hold_seconds=60).collect()}
+    k = {r["event_id"]: r["kept"] for r in ordered.sample_and_hold(df, hold_seconds=60).collect()}
     assert [k[i] for i in range(5)] == [True, False, True, False, True]
 
 

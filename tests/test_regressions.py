@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strata.functions import text as T
-from strata.operators import arith, lookup, pricing, vectors
+from strata.operators import arith, lookup, ordered, vectors
 from strata.sources import traces
 
 
@@ -51,7 +51,7 @@ def test_as_of_skips_null_prices(spark):
     at = lambda s: dt.datetime(2024, 1, 1, 0, 0, s)
     feed = spark.createDataFrame([(1, at(1), 5.0), (2, at(2), None)], "event_id long, ts timestamp, price double")
     probe = spark.createDataFrame([(3, at(3)), (4, at(0)), (2, at(2))], "event_id long, ts timestamp")
-    got = pricing.asof(probe.withColumn("key", F.col("event_id")), feed, ["key"], bucket_seconds=60)
+    got = ordered.asof(probe.withColumn("key", F.col("event_id")), feed, ["key"])
     assert {r["key"]: r["asof_price"] for r in got.collect()} == {3: 5.0, 4: None, 2: 5.0}
 
 
@@ -62,8 +62,16 @@ def test_nearest_is_alike_in_blocks(spark, exclude):
     bank = spark.createDataFrame([(i, [rnd.choice([-1.0, 0.0, 1.0, 2.0]) for _ in range(4)]) for i in range(60)], "b long, v array<double>")
     probes = bank.select(F.col("b").alias("k"), F.col("v").alias("q"))
     run = lambda size: sorted((r["k"], r["rank"], r["b"], round(r["similarity"], 9))
-                              for r in vectors.nearest(probes, ["k"], "q", bank, "b", "v", k=3, exclude_self=exclude, block_bytes=size).collect())
-    assert run(1 << 20) == run(400) and len(run(400)) == 180
+                              for r in vectors.nearest(probes, ["k"], "q", bank, "b", "v", k=3, exclude_self=exclude, blocks=size).collect())
+    assert run(1) == run(8) == run(64) and len(run(64)) == 180
+
+
+def test_nearest_of_null_and_short_vectors(spark):
+    bank = spark.createDataFrame([(1, None), (2, [1.0, 0.0]), (3, [0.0, 0.0, 5.0])], "b long, v array<double>")
+    probes = spark.createDataFrame([(1, [2.0]), (2, None), (3, [-1.0, 0.0, 0.0, 0.0])], "k long, q array<double>")
+    got = {r["k"]: (r["b"], r["similarity"]) for r in vectors.nearest(probes, ["k"], "q", bank, "b", "v").collect()}
+    assert got == {1: (2, 1.0), 2: (1, 0.0), 3: (1, 0.0)}
+    assert vectors.nearest(probes, ["k"], "q", bank.limit(0), "b", "v").count() == 0
 
 
 def test_containment_of_many_short_texts(spark):
