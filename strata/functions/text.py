@@ -127,7 +127,7 @@ def first_number_sql(e: str) -> str:
 def shown_float(col) -> Column:
     v = _c(col)
     size = F.abs(v)
-    plain = F.regexp_replace(F.regexp_replace(v.cast("decimal(38,18)").cast("string"), "0+$", ""), r"\.$", ".0")
+    plain = F.regexp_replace(F.regexp_replace(v.cast("decimal(38,22)").cast("string"), "0+$", ""), r"\.$", ".0")
     mantissa = F.regexp_replace(F.substring_index(v.cast("string"), "E", 1), r"\.0$", "")
     power = F.substring_index(v.cast("string"), "E", -1).cast("int")
     scientific = F.concat(mantissa, F.lit("e"), F.when(power < 0, "-").otherwise("+"), F.lpad(F.abs(power).cast("string"), 2, "0"))

@@ -26,6 +26,24 @@ def validator(answer: Column, any_of: Column | None = None, all_of: Column | Non
     return ok
 
 
+def judged(cases: DataFrame, decisions: DataFrame, keys: list[str]) -> DataFrame:
+    """Cases (keys, category, weight, expected, any_of, all_of, min_len) with ``passed``: the decision's layer is among the
+    expected ones and its answer passes the validator."""
+    ok = F.array_contains("expected", F.col("layer")) & validator(F.col("answer"), F.col("any_of"), F.col("all_of"), F.col("min_len"))
+    return cases.join(decisions.select(*keys, "layer", "answer"), keys).withColumn("passed", F.coalesce(ok, F.lit(False)))
+
+
+def bursts(events: DataFrame, by: str, ts: str, ok: Column, gap: str) -> DataFrame:
+    """(by, start_us, n, n_ok, span_us, points) of every session, events with gaps below ``gap``: full points if all
+    succeeded and the mean time is under the bound, fewer if all succeeded, else none."""
+    us = F.unix_micros(F.col(ts))
+    s = (events.withColumn("__ok", ok).groupBy(by, F.session_window(ts, gap).alias("s"))
+         .agg(F.min(us).alias("start_us"), F.count("*").alias("n"), F.count_if("__ok").alias("n_ok"), (F.max(us) - F.min(us)).alias("span_us")).drop("s"))
+    fast = F.col("span_us") / F.col("n") < 1000 * R.EVAL_BURST_FAST_MS
+    points = F.when(F.col("n") != F.col("n_ok"), 0).when(fast, R.EVAL_BURST_FAST_POINTS).otherwise(R.EVAL_BURST_OK_POINTS)
+    return s.withColumn("points", points.cast("int"))
+
+
 def scorecard(results: DataFrame, category: str = "category", passed: str = "passed",
               weight: str = "weight") -> DataFrame:
     """A5: per category total, passed, weight, earned, pct."""

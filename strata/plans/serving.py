@@ -275,17 +275,17 @@ def q_candidate_order(spark, sf):
 # ── layer 5: fallback chain (R3) ─────────────────────────────────────────────
 
 @register("q_fallback", """
-WITH a AS (SELECT l_orderkey AS query_id, l_linenumber AS ord, CASE WHEN l_suppkey % 2 = 0 THEN 'groq' ELSE 'gemini' END AS provider,
-                  'model-' || CAST(l_partkey % 4 AS VARCHAR) AS model, l_returnflag = 'N' AS ok, 'error ' || CAST(l_linenumber AS VARCHAR) AS error FROM lineitem),
+WITH a AS (SELECT l_orderkey AS query_id, l_linenumber * 10000000000 + l_partkey * 100000 + l_suppkey AS ord, CASE WHEN l_suppkey % 2 = 0 THEN 'groq' ELSE 'gemini' END AS provider,
+                  'model-' || CAST(l_partkey % 4 AS VARCHAR) AS model, l_returnflag = 'N' AS ok, 'error ' || CAST(l_partkey AS VARCHAR) AS error FROM lineitem),
 g AS (SELECT query_id, arg_min({'p': provider, 'm': model}, ord) FILTER (ok) AS win, arg_max(error, ord) FILTER (NOT ok) AS last_error, count(*) AS n_attempts FROM a GROUP BY 1)
 SELECT query_id, win.p AS provider, win.m AS model, last_error, n_attempts, win IS NULL AS failed FROM g""")
 def q_fallback(spark, sf):
     """An order's lines read as the attempts of a request: the first that succeeded, the last error."""
     li = table(spark, sf, "lineitem")
     return providers.resolve_attempts(li.select(
-        F.col("l_orderkey").alias("query_id"), F.col("l_linenumber").alias("ord"), F.when(F.col("l_suppkey") % 2 == 0, "groq").otherwise("gemini").alias("provider"),
+        F.col("l_orderkey").alias("query_id"), (F.col("l_linenumber").cast("long") * 10_000_000_000 + F.col("l_partkey") * 100_000 + F.col("l_suppkey")).alias("ord"), F.when(F.col("l_suppkey") % 2 == 0, "groq").otherwise("gemini").alias("provider"),
         F.concat(F.lit("model-"), (F.col("l_partkey") % 4).cast("string")).alias("model"), (F.col("l_returnflag") == "N").alias("ok"),
-        F.concat(F.lit("error "), F.col("l_linenumber").cast("string")).alias("error")))
+        F.concat(F.lit("error "), F.col("l_partkey").cast("string")).alias("error")))
 
 
 # ── evaluation by layer and validator (A5, F10) ──────────────────────────────
