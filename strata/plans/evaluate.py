@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strata import rules as R
+from strata.operators import ordered
 
 
 def validator(answer: Column, any_of: Column | None = None, all_of: Column | None = None,
@@ -67,19 +68,28 @@ def final_score(results: DataFrame, burst_ok: Column, burst_avg_ms: Column, pass
                                          + F.col("burst_points"), 1)))
 
 
-def cv_accuracy(df: DataFrame, key: str, label: str, fit_predict, folds: int = 3) -> DataFrame:
-    """Stratified k-fold accuracy.  Fold = row_number within label modulo k.
+def stratified_folds(df: DataFrame, key: str, label: str, folds: int = 3) -> DataFrame:
+    """``df`` with ``fold``: a row's place among the rows of its label (by key) modulo ``folds``. Places come from a running
+    count over (label, key) in range partitions and the labels' totals, so no task holds a label."""
+    placed = ordered.running_totals(df, [label, key], {"__place": F.lit(1)})
+    first = ordered.running_totals(df.groupBy(label).agg(F.count("*").alias("__n")), [label], {"__upto": F.col("__n")}).select(
+        F.col(label).alias("__label"), (F.col("__upto") - F.col("__n")).alias("__before"))
+    out = placed.join(first, F.col(label).eqNullSafe(F.col("__label")))
+    return out.select(*df.columns, F.pmod(F.col("__place") - 1 - F.col("__before"), F.lit(folds)).cast("int").alias("fold"))
+
 
-    ``fit_predict(train_df, test_df) -> DataFrame(key, prediction)``.  Returns (fold, accuracy)
-    rows plus mean/std computed by the caller with avg / stddev_pop."""
-    from pyspark.sql import Window
-    w = Window.partitionBy(label).orderBy(key)
-    x = df.withColumn("fold", (F.row_number().over(w) - 1) % folds)
+def cv_results(df: DataFrame, key: str, label: str, fit_predict, folds: int = 3) -> DataFrame:
+    """(fold, n, correct) of stratified k-fold cross-validation. ``fit_predict(train, test) -> DataFrame(key, prediction)``."""
+    x = stratified_folds(df, key, label, folds).checkpoint()
     out = None
     for k in range(folds):
-        pred = fit_predict(x.filter(F.col("fold") != k), x.filter(F.col("fold") == k))
-        acc = (x.filter(F.col("fold") == k).select(key, label).join(pred, key)
-               .agg(F.avg((F.col("prediction") == F.col(label)).cast("double")).alias("accuracy"))
-               .withColumn("fold", F.lit(k)))
-        out = acc if out is None else out.unionByName(acc)
+        test = x.where(F.col("fold") == k)
+        found = (test.select(key, label).join(fit_predict(x.where(F.col("fold") != k), test), key)
+                 .agg(F.count("*").alias("n"), F.count_if(F.col("prediction") == F.col(label)).alias("correct")).select(F.lit(k).alias("fold"), "n", "correct"))
+        out = found if out is None else out.unionAll(found)
     return out
+
+
+def cv_accuracy(df: DataFrame, key: str, label: str, fit_predict, folds: int = 3) -> DataFrame:
+    """(fold, accuracy) of stratified k-fold cross-validation; mean and std are the caller's avg and stddev_pop."""
+    return cv_results(df, key, label, fit_predict, folds).select("fold", (F.col("correct") / F.col("n")).alias("accuracy"))

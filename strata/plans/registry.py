@@ -795,19 +795,55 @@ def q_final_score(spark, sf):
 
 @register("q_cv_accuracy")
 def q_cv_accuracy(spark, sf):
-    """3-fold accuracy of a logistic model on the embeddings (mean and std over folds)."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.functions import array_to_vector
+    """3-fold accuracy of the ensemble's three models on the embeddings (mean and std over folds)."""
+    e = _emb(spark, sf).select("vec_id", F.col("label").cast("string").alias("label"), "embedding")
+
+    def member(pos):
+        def fit_predict(train, test):
+            ens = VO.Ensemble.fit(train, "embedding", "label", only=pos, rounds=4, mlp_iter=50)
+            return ens.votes(test, ["vec_id"], "embedding").select("vec_id", F.col("label").alias("prediction"))
+        return fit_predict
+
+    out = None
+    for pos, name in enumerate(["logistic", "perceptron", "boosted trees"]):
+        own = EV.cv_accuracy(e, "vec_id", "label", member(pos)).agg(F.avg("accuracy").alias("mean_accuracy"), F.stddev_pop("accuracy").alias("std_accuracy"))
+        own = own.select(F.lit(name).alias("model"), "*")
+        out = own if out is None else out.unionAll(own)
+    return out
+
 
+@register("q_cv_centroid", f"""
+WITH e0 AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v, (row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1) % 3 AS fold FROM embeddings),
+f AS (SELECT unnest([0, 1, 2]) AS fold),
+x AS (SELECT f.fold, label, unnest(generate_series(1, len(v))) AS pos, unnest(v) AS x FROM e0 JOIN f ON f.fold <> e0.fold),
+c AS (SELECT fold, label, list(x ORDER BY pos) AS c FROM (SELECT fold, label, pos, avg(x) AS x FROM x GROUP BY ALL) GROUP BY fold, label),
+p AS (SELECT e0.fold, e0.vec_id, e0.label, c.label AS prediction, row_number() OVER (
+        PARTITION BY e0.vec_id ORDER BY list_cosine_similarity(e0.v, c.c) DESC, c.label) AS rn FROM e0 JOIN c ON c.fold = e0.fold)
+SELECT CAST(fold AS INTEGER) AS fold, count(*) AS n, count(*) FILTER (label = prediction) AS correct FROM p WHERE rn = 1 GROUP BY fold""")
+def q_cv_centroid(spark, sf):
+    """A7 with a model that SQL has too: the nearest centroid of the other folds."""
     def fit_predict(train, test):
-        tr = train.select(array_to_vector(F.col("embedding").cast("array<double>")).alias("features"),
-                          F.col("label").cast("double").alias("y"))
-        m = LogisticRegression(featuresCol="features", labelCol="y", maxIter=100).fit(tr)
-        te = test.select("vec_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
-        return m.transform(te).select("vec_id", F.col("prediction").cast("int").alias("prediction"))
-
-    folds = EV.cv_accuracy(_emb(spark, sf), "vec_id", "label", fit_predict)
-    return folds.agg(F.avg("accuracy").alias("mean_accuracy"), F.stddev_pop("accuracy").alias("std_accuracy"))
+        c = V.centroids(train, "label", "embedding").withColumnRenamed("label", "prediction")
+        return V.nearest(test, ["vec_id"], "embedding", c, "prediction", "centroid").select("vec_id", "prediction")
+
+    return EV.cv_results(_emb(spark, sf).select("vec_id", "label", "embedding"), "vec_id", "label", fit_predict)
+
+
+@register("q_text_ensemble")
+def q_text_ensemble(spark, sf):
+    """L9 and layer 4 on text: the language of each document, learned from those whose id is not divisible by 5 (hashed
+    TF-IDF over all of these), voted for all; the models are saved to the shared folder and loaded again."""
+    import uuid
+    from strata.session import scratch_path
+    d = table(spark, sf, "documents").select("doc_id", "text", "lang").fillna("", ["text"])
+    train = d.where("doc_id % 5 <> 0")
+    vectors = VO.text_vectors(train, "text")
+    path = scratch_path(spark, f"ensemble-{uuid.uuid4().hex}")
+    VO.Ensemble.fit(vectors.transform(train), "features", "lang").save(spark, path)
+    votes = VO.Ensemble.load(spark, path).votes(vectors.transform(d), ["doc_id"], "features")
+    won = VO.majority(votes, "doc_id").join(votes.where("pos = 1").select("doc_id", "confidence"), "doc_id")
+    return won.join(d.select("doc_id", "lang"), "doc_id").select(
+        "doc_id", (F.col("doc_id") % 5 == 0).alias("held_out"), "lang", "label", "n_votes", "agreement", F.round("confidence", 3).alias("confidence"))
 
 
 # ── J13 containment ──────────────────────────────────────────────────────────
