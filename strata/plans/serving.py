@@ -33,6 +33,10 @@ _PROVIDERS = ["auto", " Gemini", "groq", "smart"]
 _DIMS = [64, 40, 16]  # of a vector request's vector, the first so many components are those of its embedding, the others 0
 
 
+#: The fixed keyword rules and those tuned to one of the corpus's languages, so that layers behind them have texts left.
+_KEYWORDS = R.keyword_rules() + [(c, o + 100, p, k, w, d) for c, o, p, k, w, d in G.tuned_keyword_rows() if c == "german"]
+
+
 def _wanted(x: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, _PROVIDERS)), F.pmod(x, F.lit(len(_PROVIDERS))).cast("int") + 1)
 
@@ -78,13 +82,12 @@ def layered(spark, sf):
     prices = asked.select(*KEYS).join(at, F.col("id") == F.col("event_id")).select(*KEYS, F.col("asof_price").alias("price"))
     answers = assistant_replies(spark, sf).select(F.lit("turn").alias("src"), (F.col("conv_id") * 1000 + F.col("turn")).cast("long").alias("id"), "answer")
     catalog = table(spark, sf, "nation").where("n_regionkey <> 0").select(F.col("n_nationkey").cast("string").alias("label"), F.col("n_name").alias("answer"))
-    rules = spark.createDataFrame(R.keyword_rules() + [(c, o + 100, p, k, w, d) for c, o, p, k, w, d in G.tuned_keyword_rows()], keyword.RULE_SCHEMA)
+    rules = spark.createDataFrame(_KEYWORDS, keyword.RULE_SCHEMA)
     return CA.route(asked, KEYS, "query", bank=G._bank(spark, sf), knowledge=G._knowledge(spark, sf), completions=answers, vectors=vectors,
                     vector_bank=bank, votes=votes, keyword_rules=rules, prices=prices, catalog=catalog, provider_col="provider")
 
 
 def _layered_sql() -> str:
-    rows = R.keyword_rules() + [(c, o + 100, p, k, w, d) for c, o, p, k, w, d in G.tuned_keyword_rows()]
     h = handler.handle_sql("query", R.greeting_rules(), R.fact_rules())
     math = arith_sql("query")
     tier, alpha = PR.tier_sql("price")
@@ -120,7 +123,7 @@ mh AS (SELECT pid, bid, round_even(sim, 3) AS similarity FROM (
 mv AS (SELECT vec_id, list_transform(v, lambda x, i: CASE WHEN i <= {own} THEN x ELSE 0.0 END) AS v FROM e),
 ns AS (SELECT a.vec_id, b.label, list_cosine_similarity(a.v, b.v) AS sim, row_number() OVER (
          PARTITION BY a.vec_id ORDER BY list_cosine_similarity(a.v, b.v) DESC, b.vec_id) AS rn FROM mv a JOIN e b ON TRUE),
-kw AS ({keyword.classify_sql("SELECT src, id, query FROM rq", KEYS, "query", rows)}),
+kw AS ({keyword.classify_sql("SELECT src, id, query FROM rq", KEYS, "query", _KEYWORDS)}),
 kb AS {KN.best_sql()},
 x AS (SELECT rq.*, {h['h0a_kind']} AS kind0, {h['h0a_rule']} AS rule0, {h['h0a_answer']} AS answer0, {math['answer']} AS math, {math['rule']} AS math_rule,
              {P.gk_gate_sql('query')} AS gk, {T.topic_sql('query')} AS topic FROM rq),

@@ -2,6 +2,7 @@
 
 import collections
 import datetime as dt
+import math
 import random
 
 import duckdb
@@ -46,7 +47,7 @@ def test_query_matches_its_sql_and_no_column_is_constant(spark, con, name):
     columns, rows = both(spark, con, name)
     if len(rows) > 10:
         told = {c for c in columns if len({str(r[c]) for r in rows if r[c] is not None}) < 2}
-        assert told <= {"kw_excluded", "n_votes"}, told
+        assert told <= {"kw_excluded", "n_votes", "turn", "source_rank"}, told
 
 
 def test_all_seven_layers_are_hit(spark, con):
@@ -75,7 +76,7 @@ def test_default_answers_and_the_catalog(spark):
         1: ("4", "an answer"), 2: ("5", None), 3: ("5", None)}
 
 
-@pytest.mark.parametrize("x", [0.0, 1.0, 17.0, 0.17, 0.0001, 0.00001234, 1e15, 123456789.25, 1e16, 2.5e22, 0.0062900000000000005, 18000.0, 1 / 3])
+@pytest.mark.parametrize("x", [0.0, 1.0, 17.0, 0.17, 0.0001, 0.00001234, 1e15, 123456789.25, 1e16, 3e22, 0.0062900000000000005, 18000.0, 1 / 3])
 def test_floats_are_shown_as_python_does(spark, x):
     assert spark.createDataFrame([(x,)], "x double").select(T.shown_float("x")).first()[0] == repr(x)
 
@@ -145,7 +146,8 @@ def test_late_rows_are_not_counted(spark, tmp_path):
     day = lambda d, h=0: dt.datetime(2024, 1, d, h)
     schema = "event_type string, ts timestamp, value double"
     given = str(tmp_path / "in")
-    for rows in ([("a", day(1), 1.0), ("a", day(1, 5), 2.0), ("a", day(3), 1.0)], [("a", day(1, 6), 9.0), ("a", day(3, 1), 1.0), ("a", day(5), 1.0)], [("b", day(8), 1.0)]):
+    for rows in ([("a", day(1), 1.0), ("a", day(1, 5), 2.0), ("a", day(3), 1.0)], [("a", day(3, 1), 1.0)], [("a", day(1, 6), 9.0), ("a", day(5), 1.0)],
+                 [("b", day(8), 1.0)]):  # a row is late once the batch before has passed its window
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(given)
     source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(given)
     got = spark.read.parquet(HS.event_counts(source, str(tmp_path / "out"), "event_type")).collect()
@@ -215,8 +217,8 @@ def test_quantiles_are_within_their_bound_and_merge(spark):
     merged = sketch.quantiles(sketch.merged(sketch.of(df, ["part"], "us"), [F.lit(1).alias("g")]), ["g"], {"p50": (1, 2), "p99": (99, 100)}).first()
     assert whole == merged and whole["n"] == len(values)
     for name, q in (("p50", 0.5), ("p99", 0.99)):
-        exact = sorted(values)[-(-int(q * len(values) * 100) // 100)]
-        assert exact * (1 - 1 / 64) <= whole[name] <= exact * (1 + 1 / 64)
+        exact = sorted(values)[math.ceil(q * len(values)) - 1]
+        assert exact * (1 - 1 / 128) <= whole[name] <= exact
 
 
 def test_folds_differ_by_at_most_one_row_a_label(spark):
