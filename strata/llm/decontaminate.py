@@ -22,7 +22,7 @@ each word at its place.
 
 from __future__ import annotations
 
-from collections import defaultdict
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strata.llm.arrow import append, slices, text_buffers
-from strata.llm.words import ALNUM, Tokenizer, grams
+from strata.llm.words import ALNUM, Tokenizer, grams, mix
 
 WINDOW = 13
 SHINGLE = 3
@@ -56,30 +56,59 @@ class Keys:
         return at[ok], place[ok]
 
 
-def item_windows(items: list[tuple[str, str]], size: int) -> list[tuple[tuple[int, ...], list[str]]]:
-    """Distinct windows of the items as word hashes, each with the ids that have it."""
-    tokenizer = Tokenizer(ALNUM, lower=True)
-    found = defaultdict(set)
-    for item, text in items:
-        data = np.frombuffer(text.encode(), np.uint8)
-        hashes = [int(x) for x in tokenizer.words(data, np.array([0, len(data)]))[3]]
-        for i in range(max(1, len(hashes) - size + 1)):
-            if hashes:
-                found[tuple(hashes[i:i + size])].add(item)
-    return [(w, sorted(ids)) for w, ids in found.items()]
+class Windows(NamedTuple):
+    """Distinct windows as places in the items' words (each word is held once), and the items that have each."""
+    words: np.ndarray  # hashes of all items' words
+    first: np.ndarray
+    length: np.ndarray
+    names: list[str]
+    upto: np.ndarray  # window w is of the items of[upto[w]:upto[w + 1]], numbers of names
+    of: np.ndarray
 
 
-def shingle_keys(windows, shingle: int) -> dict[int, np.ndarray]:
+def item_windows(items: list[tuple[str, str]], size: int) -> Windows:
+    """Windows are equal if two 64-bit hashes of their word hashes and their lengths are."""
+    tokenizer = Tokenizer(ALNUM, lower=True)
+    names = sorted({item for item, _ in items})
+    number = {x: k for k, x in enumerate(names)}
+    held = [tokenizer.words(data := np.frombuffer(text.encode(), np.uint8), np.array([0, len(data)]))[3] for _, text in items]
+    n = np.array([len(h) for h in held], np.int64)
+    words = np.concatenate([np.zeros(0, np.uint64), *held])
+    count = np.where(n > 0, np.maximum(n - size + 1, 1), 0)
+    first, row = ranges(np.cumsum(n) - n, count), np.repeat(np.arange(len(n)), count)
+    length, owner = np.minimum(n, size)[row], np.array([number[item] for item, _ in items], np.int64)[row]
+    a, b = (length.astype(np.uint64) * np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F))
+    for k in range(int(length.max(initial=0))):
+        at = np.flatnonzero(length > k)
+        w = words[first[at] + k]
+        a[at] = mix(a[at] + w)
+        b[at] = mix(b[at] ^ mix(w + np.uint64(k + 1)))
+    order = np.lexsort((owner, b, a))
+    a, b, owner = a[order], b[order], owner[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    distinct = new.copy()
+    distinct[1:] |= owner[1:] != owner[:-1]
+    some = order[new]
+    upto = np.append(np.flatnonzero(new[distinct]), int(distinct.sum()))
+    return Windows(words, first[some], length[some], names, upto, owner[distinct])
+
+
+def shingle_keys(windows: Windows, shingle: int) -> dict[int, np.ndarray]:
     """Sorted distinct shingle hashes by shingle length (short windows have short shingles)."""
-    found = defaultdict(list)
-    for w, _ in windows:
-        k = min(shingle, len(w))
-        found[k].append(grams(np.array(w, np.uint64), k))
-    return {k: np.unique(np.concatenate(v)) for k, v in found.items()}
+    out = {}
+    for k in np.unique(np.minimum(windows.length, shingle)).tolist():
+        own = np.flatnonzero(np.minimum(windows.length, shingle) == k)
+        change = np.zeros(len(windows.words) + 2, np.int32)
+        np.add.at(change, windows.first[own], 1)
+        np.add.at(change, windows.first[own] + windows.length[own] - k + 1, -1)
+        inside = np.flatnonzero(np.cumsum(change) > 0)  # where a shingle of some window begins
+        out[k] = np.unique(grams(windows.words, k)[inside])
+    return out
 
 
-def rarity(docs: DataFrame, keys: dict[int, np.ndarray], text: str) -> dict[tuple[int, int], int]:
-    """How often each shingle of the items occurs in all documents: {(length, place): count}."""
+def rarity(docs: DataFrame, keys: dict[int, np.ndarray], text: str) -> dict[int, np.ndarray]:
+    """How often each shingle of the items occurs in all documents, by its length and place among the keys."""
     shared = docs.sparkSession.sparkContext.broadcast(keys)
 
     def count(batches):
@@ -100,25 +129,34 @@ def rarity(docs: DataFrame, keys: dict[int, np.ndarray], text: str) -> dict[tupl
                                               pa.array(v[at])], names=["k", "place", "n"])
 
     parts = docs.select(F.col(f"`{text}`").alias("text")).mapInArrow(count, "k int, place long, n long")
-    return {(r["k"], r["place"]): r["n"] for r in parts.groupBy("k", "place").agg(F.sum("n").alias("n")).collect()}
-
-
-def anchored(windows, keys, counts, shingle: int) -> dict[int, dict]:
-    """By shingle length: sorted anchor keys, and for each the windows that it anchors, with its place in them."""
-    found = defaultdict(list)
-    for number, (w, _) in enumerate(windows):
-        k = min(shingle, len(w))
-        g = grams(np.array(w, np.uint64), k)
-        places = np.searchsorted(keys[k], g)
-        at = min(range(len(g)), key=lambda x: (counts.get((k, int(places[x])), 0), int(g[x]), x))
-        found[k].append((int(g[at]), number, at))
+    found = parts.groupBy("k", "place").agg(F.sum("n").alias("n")).toArrow()
+    of, place, n = (found.column(c).to_numpy() for c in ("k", "place", "n"))
+    out = {k: np.zeros(len(v), np.int64) for k, v in keys.items()}
+    for k, counts in out.items():
+        counts[place[of == k]] = n[of == k]
+    return out
+
+
+def anchored(windows: Windows, keys, counts, shingle: int) -> dict[int, dict]:
+    """By shingle length: sorted anchor keys, and for each the windows that it anchors, with its place in them. A window's
+    anchor is its shingle with the least count, of those the one with the least hash, the first of them."""
     out = {}
-    for k, entries in found.items():
-        entries.sort()
-        anchors = np.array([e[0] for e in entries], np.uint64)
-        unique, first = np.unique(anchors, return_index=True)
-        out[k] = {"keys": unique, "first": np.append(first, len(entries)).astype(np.int64),
-                  "window": np.array([e[1] for e in entries], np.int64), "at": np.array([e[2] for e in entries], np.int64)}
+    short = np.minimum(windows.length, shingle)
+    for k in keys:
+        own = np.flatnonzero(short == k)
+        g, anchor, at = grams(windows.words, k), np.zeros(len(own), np.uint64), np.zeros(len(own), np.int64)
+        for size in np.unique(windows.length[own]).tolist():
+            same = np.flatnonzero(windows.length[own] == size)
+            for i in range(0, len(same), 1 << 16):
+                some = same[i:i + (1 << 16)]
+                h = g[windows.first[own[some]][:, None] + np.arange(size - k + 1)]
+                n = counts[k][np.searchsorted(keys[k], h)]
+                least = np.where(n == n.min(1, keepdims=True), h, np.uint64(2**64 - 1))
+                at[some] = least.argmin(1)
+                anchor[some] = h[np.arange(len(some)), at[some]]
+        order = np.lexsort((at, own, anchor))
+        unique, first = np.unique(anchor[order], return_index=True)
+        out[k] = {"keys": unique, "first": np.append(first, len(own)).astype(np.int64), "window": own[order], "at": at[order]}
     return out
 
 
@@ -165,18 +203,15 @@ def merge_spans(spans):
     return out
 
 
-def mark_block(docs: DataFrame, windows, anchors, text: str) -> DataFrame:
+def mark_block(docs: DataFrame, windows: Windows, anchors, text: str) -> DataFrame:
     """Adds the fields for one block of items, or extends those that an earlier block gave."""
     earlier = "hit_spans" in docs.columns
-    flat = np.array([x for w, _ in windows for x in w] or [0], np.uint64)
-    lengths = np.array([len(w) for w, _ in windows], np.int64)
-    shared = docs.sparkSession.sparkContext.broadcast((anchors, lengths, flat, [ids for _, ids in windows]))
+    shared = docs.sparkSession.sparkContext.broadcast((anchors, tuple(windows)))
     if earlier:
         docs = docs.withColumnsRenamed({f.name: f"earlier_{f.name}" for f in FIELDS})
 
     def start():
-        anchors, lengths, flat, ids = shared.value
-        offset = np.cumsum(lengths) - lengths
+        anchors, (flat, offset, lengths, names, upto, of) = shared.value
         tokenizer, have = Tokenizer(ALNUM, lower=True), {k: Keys(v["keys"]) for k, v in anchors.items()}
 
         def kernel(data, offsets, batch):
@@ -200,7 +235,8 @@ def mark_block(docs: DataFrame, windows, anchors, text: str) -> DataFrame:
                         a, r = end, r + 1
                 pairs = np.unique(row * len(lengths) + window)
                 for p in pairs:
-                    items[int(p) // len(lengths)].update(ids[int(p) % len(lengths)])
+                    w = int(p) % len(lengths)
+                    items[int(p) // len(lengths)].update(names[k] for k in of[upto[w]:upto[w + 1]].tolist())
             if earlier:
                 for r, old in enumerate(batch.column("earlier_hit_spans").to_pylist()):
                     spans[r] = merge_spans([*spans[r], *old])
@@ -226,7 +262,7 @@ def mark(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, shingle: int
         block = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b)
         windows = item_windows([(r["item"], r["text"]) for r in block.toLocalIterator()], size)
         keys = shingle_keys(windows, shingle)
-        counts = rarity(docs, keys, text) if windows else {}
+        counts = rarity(docs, keys, text) if len(windows.first) else {}
         out = mark_block(out, windows, anchored(windows, keys, counts, shingle), text)
     return out
 
