@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import astuple, dataclass
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -133,6 +133,10 @@ class Dfa:
     next: np.ndarray
     accepts: np.ndarray
 
+    @cached_property
+    def moves(self) -> list[list[int]]:
+        return self.next.tolist()
+
 
 def build(patterns: list[str], tails: list[tuple[str, int]] | None = None) -> Dfa:
     """The smallest automaton that tells for each prefix which patterns end there.
@@ -283,16 +287,18 @@ def longest(dfa: Dfa, symbols: list[int], moves: list[list[int]], at: int, end:
 def exact(rule: Rule, own, text: np.ndarray, a: int, z: int) -> list[tuple[int, int]]:
     """Spans of the rule within bytes a to z, which no match crosses: leftmost, longest, not overlapping."""
     head, whole, _ = own
-    s_head, s_whole = head.classes[text].tolist(), whole.classes[text].tolist()
-    m_head, m_whole = head.next.tolist(), whole.next.tolist()
-    out, p = [], a
-    while p < z:
-        end = longest(whole, s_whole, m_whole, p, z)
-        if end <= p:
-            p += 1
+    part = text[a:z]
+    s_head, s_whole = head.classes[part].tolist(), whole.classes[part].tolist()
+    begins = (whole.next[0] >= 0)[whole.classes[part]]  # no match begins elsewhere
+    out, p = [], 0
+    for begin in np.flatnonzero(begins).tolist():
+        if begin < p:
+            continue
+        end = longest(whole, s_whole, whole.moves, begin, z - a)
+        if end <= begin:
             continue
-        if end - longest(head, s_head, m_head, p, end) >= rule.least:
-            out.append((p, end))
+        if end - longest(head, s_head, head.moves, begin, end) >= rule.least:
+            out.append((a + begin, a + end))
         p = end
     return out
 
