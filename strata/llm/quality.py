@@ -24,6 +24,7 @@ from pyspark.sql import types as T
 
 from strata.llm.arrow import append
 from strata.llm.words import SPACED, Tokenizer, grams, mix
+from strata.session import ensure_checkpoint_dir
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 SYMBOLS = b"#*$%&|<>"
@@ -44,8 +45,10 @@ BANDS = {
 #: than this share and by more than so many standard errors. A standard error is the language's spread over the
 #: root of the text's tokens; the spread is such that 68 % of its texts lie within one.
 SHARE_BELOW, SHARE_ABOVE, ERRORS = 0.06, 0.50, 3.0
-#: Languages with fewer texts, and all but the most common ones, take the middle of their script.
-LEAST_TEXTS, MOST_LANGUAGES = 30, 1000
+#: Languages with fewer texts take the middle of their script.
+LEAST_TEXTS = 30
+#: Bands of so many languages are broadcast (some 50 bytes each); more of them are joined by a shuffle.
+BROADCAST_BANDS = 100_000
 #: Lead bytes of UTF-8 by script; bytes of ASCII letters count as Latin.
 SCRIPT_LEADS = {"latin": [*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0xC3, 0xCA)], "greek": [0xCE, 0xCF],
                 "cyrillic": [*range(0xD0, 0xD5)], "hebrew_arabic": [0xD6, 0xD7, *range(0xD8, 0xDC)],
@@ -173,16 +176,22 @@ def per_token():
     return F.col("word_chars") / F.greatest("n_tokens", F.lit(1))
 
 
+def sized(bands: DataFrame) -> DataFrame:
+    """Bands as a checkpoint, to be broadcast while there are few of them."""
+    bands = bands.checkpoint()
+    return F.broadcast(bands) if bands.count() <= BROADCAST_BANDS else bands
+
+
 def middles(measured: DataFrame, lang: str | None) -> DataFrame:
     """Median and spread of the characters per token over all texts that pass the base rule, by language and by
-    script (``of`` is "l:..." or "s:..."): at most MOST_LANGUAGES rows and one for each script."""
+    script (``of`` is "l:..." or "s:...")."""
     names = [F.concat(F.lit("s:"), "script")] + ([F.concat(F.lit("l:"), F.col(f"`{lang}`").cast("string"))] if lang else [])
     texts = (measured.where(~base_failed()).select(F.explode(F.array(*names)).alias("of"), per_token().alias("x"), "n_tokens")
              .where("of IS NOT NULL"))
     middle = (texts.groupBy("of").agg(F.percentile_approx("x", 0.5).alias("middle"), F.count("*").alias("n"))
-              .where(F.col("n") >= LEAST_TEXTS).orderBy(F.desc("n"), "of").limit(MOST_LANGUAGES + len(SCRIPT_LEADS)).drop("n"))
+              .where(F.col("n") >= LEAST_TEXTS).drop("n"))
     off = F.abs(F.col("x") - F.col("middle")) * F.sqrt("n_tokens")
-    return texts.join(F.broadcast(middle), "of").groupBy("of", "middle").agg(F.percentile_approx(off, 0.68).alias("spread"))
+    return texts.join(sized(middle), "of").groupBy("of", "middle").agg(F.percentile_approx(off, 0.68).alias("spread"))
 
 
 def fits(band: str):
@@ -199,12 +208,13 @@ def fits(band: str):
 
 def verdicts(measured: DataFrame, lang: str | None = None) -> DataFrame:
     """``measured`` (read twice: give it checkpointed or written) with base_failed, band_middle, band_spread and kept."""
-    known = middles(measured, lang)
+    ensure_checkpoint_dir(measured.sparkSession)
+    known = sized(middles(measured, lang))
     out = measured.withColumn("base_failed", base_failed())
     for name, key in (("by_script", F.concat(F.lit("s:"), "script")),
                       ("by_lang", F.concat(F.lit("l:"), F.col(f"`{lang}`").cast("string")) if lang else F.lit(None).cast("string"))):
         side = known.select(F.col("of").alias(f"{name}_of"), F.struct("middle", "spread").alias(name))
-        out = out.join(F.broadcast(side), key == F.col(f"{name}_of"), "left").drop(f"{name}_of")
+        out = out.join(side, key == F.col(f"{name}_of"), "left").drop(f"{name}_of")
     out = out.withColumn("band", F.coalesce("by_lang", "by_script")).drop("by_lang", "by_script")
     kept = ~F.col("base_failed") & fits("band")
     return out.select("*", F.col("band.middle").alias("band_middle"), F.col("band.spread").alias("band_spread"), kept.alias("kept")).drop("band")
