@@ -552,15 +552,29 @@ def test_lm_model_takes_long_texts_and_the_whole_corpus(spark, frame):
 
 
 def test_lm_windows_grow_with_the_corpus(frame):
-    docs = lambda n: frame([(i, f"{PROSE} " * 100) for i in range(n)]).select("doc_id", "text").coalesce(1)
-    raw = open(lm.VOCABULARY, "rb").read()
-    n = [lm.survey(docs(k), raw, 32000, 32001, first_tokens=1, share=4).where("window IS NOT NULL").count() for k in (20, 80)]
-    assert n[0] > 5 and abs(n[1] - 4 * n[0]) <= 4
+    def chosen(n, parts):
+        docs = frame([(i, f"{PROSE} " * 400) for i in range(n)]).select("doc_id", "text").repartition(parts)
+        with open(lm.VOCABULARY, "rb") as f:
+            rows = lm.encoded(docs, f.read(), (np.zeros(0, np.uint64), np.zeros(0, np.int64)))
+        return sorted((r["h"], bytes(r["window"])) for r in lm.survey(rows, 32000, 32001, sample=1, share=4).where("window IS NOT NULL").collect())
+
+    few, many = chosen(20, 1), chosen(80, 2)
+    assert len(few) > 20 and 3 * len(few) < len(many) < 5 * len(few)
+    assert many == chosen(80, 7)  # wherever the rows lie
+
+
+def test_lm_scores_do_not_depend_on_the_partitions(spark, monkeypatch):
+    monkeypatch.setattr(lm, "STEPS", 30)
+    monkeypatch.setattr(lm, "GROUP", 10)
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text")
+    told = lambda n: {r["doc_id"]: r["score"] for r in lm.score(docs.repartition(n)).collect()}
+    a, b = told(2), told(6)
+    assert a.keys() == b.keys() and max(abs(a[k] - b[k]) for k in a) < 1e-3
 
 
 def test_lm_windows_hold_every_target_once():
     ids, bounds = np.arange(5000) % 40, np.array([0, 0, 7, 3 * lm.WINDOW - 1, 5000])
-    held = list(lm.windows_of(ids, bounds, 50, 51, lambda size: range(len(size))))
+    held = [w for _, w in lm.windows_of(ids, bounds, 50, 51, lambda row, number: range(len(row)))]
     want = [np.concatenate([ids[i:j], [51]]) for i, j in zip(bounds[:-1], bounds[1:], strict=True)]
     assert np.array_equal(np.concatenate([w[1:] for w in held]), np.concatenate(want)) and max(map(len, held)) == lm.WINDOW + 1
     flat, edges = lm.read_windows(lm.pa.array([w.tobytes() for w in held], lm.pa.binary()))
@@ -576,7 +590,7 @@ def test_lm_windows_hold_every_target_once():
 def test_query_equals_sql(spark, name):
     df = queries.QUERIES[name](spark, SMALL)
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "conversations", "labels"):
+    for t in ("documents", "benchmark", "conversations", "labels", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SMALL}/{t}.parquet')")
     cur = con.execute(queries.ORACLE[name])
     names = [d[0] for d in cur.description]
