@@ -780,19 +780,6 @@ def q_scorecard(spark, sf):
     return EV.scorecard(_eval_results(spark, sf))
 
 
-@register("q_final_score", f"""
-WITH {_EVAL_SQL},
-b AS (SELECT avg(value) AS avg_ms FROM events WHERE event_type = 'click')
-SELECT CAST(sum(weight) AS BIGINT) AS total_weight, CAST(sum(CASE WHEN passed THEN weight ELSE 0 END) AS BIGINT) AS earned,
-       CAST((SELECT CASE WHEN avg_ms < {R.EVAL_BURST_FAST_MS} THEN {R.EVAL_BURST_FAST_POINTS} ELSE {R.EVAL_BURST_OK_POINTS} END FROM b) AS INTEGER) AS burst_points,
-       round(CAST(sum(CASE WHEN passed THEN weight ELSE 0 END) AS DOUBLE) / sum(weight) * {R.EVAL_FUNCTIONAL_POINTS}
-             + (SELECT CASE WHEN avg_ms < {R.EVAL_BURST_FAST_MS} THEN {R.EVAL_BURST_FAST_POINTS} ELSE {R.EVAL_BURST_OK_POINTS} END FROM b), 1) AS score
-FROM ev""")
-def q_final_score(spark, sf):
-    avg_ms = table(spark, sf, "events").filter(F.col("event_type") == "click").agg(F.avg("value")).first()[0]
-    return EV.final_score(_eval_results(spark, sf), F.lit(True), F.lit(avg_ms if avg_ms is not None else 0.0))
-
-
 @register("q_cv_accuracy")
 def q_cv_accuracy(spark, sf):
     """3-fold accuracy of the ensemble's three models on the embeddings (mean and std over folds)."""

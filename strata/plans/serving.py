@@ -379,12 +379,29 @@ def q_latency_quantiles(spark, sf):
     return q.select("layer", "day", "n", F.col("fast").alias("n_fast"), "p50_us", "p95_us", "p99_us")
 
 
-@register("q_bursts", """
+_BURSTS_SQL = """
 WITH o AS (SELECT user_id, ts, event_type, CASE WHEN ts - lag(ts) OVER w < INTERVAL 1 HOUR THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
 s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM o)
 SELECT user_id, epoch_us(min(ts)) AS start_us, count(*) AS n, count(*) FILTER (event_type <> 'error') AS n_ok, epoch_us(max(ts)) - epoch_us(min(ts)) AS span_us,
        CASE WHEN count(*) = count(*) FILTER (event_type <> 'error') THEN CASE WHEN (epoch_us(max(ts)) - epoch_us(min(ts))) / count(*) < 1000 * 150 THEN 10 ELSE 8 END ELSE 0 END AS points
-FROM s GROUP BY user_id, k""")
+FROM s GROUP BY user_id, k"""
+
+
+@register("q_bursts", _BURSTS_SQL)
 def q_bursts(spark, sf):
     """Bursts: a user's events with gaps under an hour, their successes, throughput and points."""
     return EV.bursts(table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp")), "user_id", "ts", F.col("event_type") != "error", "1 hour")
+
+
+@register("q_final_score", f"""
+WITH {G._EVAL_SQL},
+b AS (SELECT points FROM ({_BURSTS_SQL}) ORDER BY n DESC, n_ok DESC, user_id, start_us LIMIT 1)
+SELECT CAST(sum(weight) AS BIGINT) AS total_weight, CAST(sum(CASE WHEN passed THEN weight ELSE 0 END) AS BIGINT) AS earned,
+       CAST((SELECT points FROM b) AS INTEGER) AS burst_points,
+       round(CAST(sum(CASE WHEN passed THEN weight ELSE 0 END) AS DOUBLE) / sum(weight) * {R.EVAL_FUNCTIONAL_POINTS} + (SELECT points FROM b), 1) AS score
+FROM ev""")
+def q_final_score(spark, sf):
+    """The earned share of all cases, and the points of the largest burst of all events."""
+    top = q_bursts(spark, sf).orderBy(F.desc("n"), F.desc("n_ok"), "user_id", "start_us").limit(1).first()
+    ok, mean = (top["n"] == top["n_ok"], top["span_us"] / top["n"] / 1000) if top else (False, 0.0)
+    return EV.final_score(G._eval_results(spark, sf), F.lit(ok), F.lit(mean))
