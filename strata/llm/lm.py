@@ -7,10 +7,10 @@ token before) come from counts over all training texts. The frequent ids are cla
 whether they begin a word. All counts, and with them classes, embedded ids, contexts and
 histories, are of all training rows, summed by Spark. Embeddings, attention and output are trained together
 (Adam) on windows of up to WINDOW tokens, cut from texts of any length. A window is known by a hash of its text's
-id and its number, never by where its row lies: the SAMPLE_DOCS windows with the least hashes give a first model
-in one task; one window in SHARE, by hash, trains it on. These are dealt by hash to groups of about GROUP windows,
-so their number grows with the corpus, each group trains on its windows in the order of their hashes, and the
-parameters are averaged by the number of windows. So scores do not depend on the partitions of the input.
+id and its number, never by where its row lies. All windows of all training texts train the model: they are dealt by
+hash to groups of about GROUP windows, so the groups grow with the corpus, each group trains on its windows in the
+order of their hashes, and the parameters are averaged by the number of windows. Where the groups begin from is no
+random point, but what the FIRST windows in the order of their hashes lead to, in one task. So scores do not depend on the partitions of the input.
 
 Texts are encoded once: the ids (two bytes each) wait in a table in the shared folder, with what the base needs of a
 text, and all later passes read these.
@@ -52,9 +52,9 @@ HIDDEN = 16
 OWN_CLASSES, SHARED_CLASSES = 48, 8  # shared ones: so many for pieces that begin a word, and for those that do not
 EMBEDDED = 4096
 BEFORE = 512  # contexts of one token: the most frequent ids alone, the others by class
-PAIRS = 1 << 14  # contexts of two tokens: the sample's most frequent ones; otherwise the last token's
-WINDOW, SHARE, GROUP = 64 * SPAN, 8, 2000
-SAMPLE_DOCS = 1500  # windows of the first model
+PAIRS = 1 << 14  # contexts of two tokens: the most frequent ones; otherwise the last token's
+WINDOW, GROUP = 64 * SPAN, 2000
+FIRST = 1500  # windows that lead from random parameters to where all groups begin
 STEPS, BATCH, RATE = 400, 512, 0.02
 LATER = 0.1  # the rate from the first model on, as a share of RATE
 HEAVY = 1 << 20
@@ -124,7 +124,7 @@ def windows_of(ids: np.ndarray, bounds: np.ndarray, begin: int, end: int, choose
     for w in choose(row, number):
         r = row[w]
         own = ids[bounds[r] + max(a[w] - 1, 0):min(bounds[r] + z[w], bounds[r + 1])]
-        yield w, np.concatenate([[begin] if a[w] == 0 else [], own, [end] if z[w] == n[r] else []]).astype(np.int32)
+        yield w, np.concatenate([[begin] if a[w] == 0 else [], own, [end] if z[w] == n[r] else []]).astype(np.uint16)
 
 
 def window_blocks(flat: np.ndarray, bounds: np.ndarray, begin: int, end: int):
@@ -213,9 +213,8 @@ def gradients(p, inputs, first, place, target, real, prior):
     d_around = dk @ p["key"].T + dv @ p["value"].T
     dx += d_around[:, SPAN:]
     dx[:-1] += d_around[1:, :SPAN] * ~first[1:, None, None]
-    embed = np.zeros_like(p["embed"])
-    np.add.at(embed, place[inputs].ravel(), flat(dx))
-    g["embed"] = embed
+    at, dx = place[inputs].ravel(), flat(dx)
+    g["embed"] = np.stack([np.bincount(at, weights=dx[:, j], minlength=len(p["embed"])) for j in range(dx.shape[1])], axis=1).astype(dx.dtype)
     return loss, g
 
 
@@ -244,7 +243,7 @@ def batch_gradients(p, part: slice, made, classes, place, histories, prior, begi
 
 
 def train(flat, bounds, classes, place, histories, prior, begin: int, end: int, seed: int = 3):
-    """The first model's parameters, from the sample's windows."""
+    """The parameters where all groups begin, from the first windows."""
     rng = np.random.default_rng(seed)
     shape = {"embed": (EMBEDDED + 1, DIM), "query": (DIM, DIM), "key": (DIM, DIM), "value": (DIM, HIDDEN), "direct": (DIM, HIDDEN),
              "inner": (HIDDEN,), "out": (HIDDEN, N_CLASSES), "outer": (N_CLASSES,), "distance": (2 * SPAN,)}
@@ -262,14 +261,14 @@ def train(flat, bounds, classes, place, histories, prior, begin: int, end: int,
 
 
 def read_windows(column):
-    """(flat ids, bounds) of windows as int32 bytes."""
+    """(flat ids, bounds) of windows as two-byte numbers."""
     held = column.to_pylist()
-    return np.frombuffer(b"".join(held), np.int32), np.concatenate([[0], np.cumsum([len(w) // 4 for w in held])]).astype(np.int64)
+    return np.frombuffer(b"".join(held), np.uint16), np.concatenate([[0], np.cumsum([len(w) // 2 for w in held])]).astype(np.int64)
 
 
-def trained_on_all(windows: DataFrame, p: dict, classes, place, histories, prior, begin: int, end: int, group: int | None = None) -> dict:
-    """The mean, by windows, of the parameters that each group of windows (h, window) reaches from ``p``."""
-    groups = max(1, -(-windows.count() // (group or GROUP)))
+def trained_on_all(windows: DataFrame, total: int, p: dict, classes, place, histories, prior, begin: int, end: int) -> dict:
+    """The mean, by windows, of the parameters that each group of the ``total`` windows (h, window) reaches from ``p``."""
+    groups = max(1, -(-total // GROUP))
     dealt = windows.select(F.pmod("h", F.lit(groups)).cast("int").alias("g"), "h", "window").repartition("g").sortWithinPartitions("g", "h", "window")
     shared = windows.sparkSession.sparkContext.broadcast((p, classes, place, histories, prior))
     names = list(p)
@@ -278,19 +277,14 @@ def trained_on_all(windows: DataFrame, p: dict, classes, place, histories, prior
     def run(batches):
         first, classes, place, histories, prior = shared.value
         now = adam = None
-        p, seen = first, 0
-
-        def reached():
-            flat = np.concatenate([*(p[k].ravel() for k in names), [1]]).astype(np.float64) * seen
-            return pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat)], names=["cell", "v"])
+        p, seen, reached = first, 0, np.zeros(edges[-1] + 1)  # all groups of the task, and their windows
 
         for batch in batches:
             group = batch.column("g").to_numpy()
             cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(batch)]
             for x, y in itertools.pairwise(cuts):
                 if x < y and group[x] != now:
-                    if seen:
-                        yield reached()
+                    reached += np.concatenate([*(p[k].ravel() for k in names), [1]]).astype(np.float64) * seen
                     now, p, seen = group[x], {k: v.copy() for k, v in first.items()}, 0
                     adam = Adam(p)
                 for i in range(x, y, 1000):
@@ -299,8 +293,9 @@ def trained_on_all(windows: DataFrame, p: dict, classes, place, histories, prior
                     for at in range(0, len(made[0]), BATCH):
                         adam.step(batch_gradients(p, slice(at, at + BATCH), made, classes, place, histories, prior, begin), RATE * LATER)
                     seen += len(bounds) - 1
-        if seen:
-            yield reached()
+        reached += np.concatenate([*(p[k].ravel() for k in names), [1]]).astype(np.float64) * seen
+        if reached[-1]:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(reached))), pa.array(reached)], names=["cell", "v"])
         give_back()
 
     found = dealt.mapInArrow(run, "cell long, v double").groupBy("cell").agg(F.sum("v").alias("v")).toArrow()
@@ -407,12 +402,15 @@ def two_before(inputs, first, begin: int, histories: dict) -> np.ndarray:
     return histories["map"][before * BEFORE + last]
 
 
-def survey(rows: DataFrame, begin: int, end: int, sample: int = SAMPLE_DOCS, share: int | None = None) -> DataFrame:
+def count_windows(rows: DataFrame) -> int:
+    return int(rows.agg(F.sum(F.ceil((F.octet_length("ids") / 2 + 1) / WINDOW))).first()[0] or 0)
+
+
+def survey(rows: DataFrame, begin: int, end: int, sample: int = 0, share: int = 1) -> DataFrame:
     """Of all given texts' ids (id, n): counts of every target id (the end once a text) by task; and (h, window): windows to
-    train on with their hash, as int32 bytes: one in ``share``, and those whose hash is low enough to be among the first."""
-    share = share or SHARE
-    total = rows.agg(F.sum(F.ceil((F.octet_length("ids") / 2 + 1) / WINDOW))).first()[0] or 1
-    low = min(2**63 - 1, int(2**63 * 1.25 * sample / int(total)) + 1)
+    train on with their hash, as two-byte numbers: one in ``share`` (1: all; 0: none), and those whose hash is low enough to
+    be among the first ``sample``."""
+    low = min(2**63 - 1, int(2**63 * 1.25 * sample / max(1, count_windows(rows))) + 1) if sample else 0
 
     def run(batches):
         counts = np.zeros(end + 1, np.int64)
@@ -425,7 +423,8 @@ def survey(rows: DataFrame, begin: int, end: int, sample: int = SAMPLE_DOCS, sha
                 def choose(row, number, own=seeds[i:j], known=known):
                     h = mix(own[row] + mix(number.astype(np.uint64) + np.uint64(1))) >> np.uint64(1)
                     known.append(h)
-                    return np.flatnonzero((h < np.uint64(low)) | (h % np.uint64(share) == 0)).tolist()
+                    dealt = h % np.uint64(share) == 0 if share else np.zeros(len(h), bool)
+                    return np.flatnonzero((h < np.uint64(low)) | dealt).tolist()
 
                 held = [(int(known[0][w]), x.tobytes()) for w, x in windows_of(ids, bounds, begin, end, choose)]
                 none = pa.nulls(len(held), pa.int64())
@@ -523,14 +522,14 @@ def within_logs(within, contexts, classes, place, inputs, targets):
     return np.where(at > 0, table[context, at], share[context, classes[targets]] + alone[targets])
 
 
-def fit(docs: DataFrame, vocabulary: str = VOCABULARY, sample_docs: int = SAMPLE_DOCS):
-    """The model, from training rows (doc_id, text), as plain arrays."""
+def fit(docs: DataFrame, vocabulary: str = VOCABULARY, sample_docs: int = FIRST):
+    """The model, from all training rows (doc_id, text), as plain arrays; ``sample_docs``: how many windows come first."""
     empty = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
     return fit_ids(encoded(docs, Path(vocabulary).read_bytes(), empty), vocabulary, sample_docs)
 
 
-def fit_ids(rows: DataFrame, vocabulary: str = VOCABULARY, sample_docs: int = SAMPLE_DOCS):
-    """The model, from the training rows (seed, ids) of ``encoded``, as plain arrays."""
+def fit_ids(rows: DataFrame, vocabulary: str = VOCABULARY, first: int = FIRST):
+    """The model, from all windows of the training rows (seed, ids) of ``encoded``, as plain arrays."""
     import sentencepiece
 
     raw = Path(vocabulary).read_bytes()
@@ -538,8 +537,8 @@ def fit_ids(rows: DataFrame, vocabulary: str = VOCABULARY, sample_docs: int = SA
     width = pieces.get_piece_size() + 2
     begin, end = width - 2, width - 1
     begins_word = np.array([*(pieces.id_to_piece(i).startswith("▁") for i in range(width - 2)), True, True]).astype(np.int64)
-    found = survey(rows, begin, end, sample_docs).checkpoint()
-    windows = found.where("window IS NOT NULL").select("h", "window")
+    found = survey(rows, begin, end, first, share=0).checkpoint()
+    early = found.where("window IS NOT NULL").select("h", "window")
     counts = count_ids(found, width)
     classes = classes_of(counts, begins_word)
     place = np.zeros(width, np.int64)  # the rarer ids share an embedding
@@ -557,8 +556,9 @@ def fit_ids(rows: DataFrame, vocabulary: str = VOCABULARY, sample_docs: int = SA
         classes, place, histories, prior = shared.value
         return train(*read_windows(table.column("window")), classes, place, histories, prior, begin, end)
 
-    p = in_one_task(windows.orderBy("h", "window").limit(sample_docs), learn)
-    p = trained_on_all(windows.where(F.pmod("h", F.lit(SHARE)) == 0), p, classes, place, histories, prior, begin, end)
+    p = in_one_task(early.orderBy("h", "window").limit(first), learn)
+    windows = survey(rows, begin, end).where("window IS NOT NULL").select("h", "window")
+    p = trained_on_all(windows, count_windows(rows), p, classes, place, histories, prior, begin, end)
     return {"vocabulary": raw, "begin": begin, "end": end, "classes": classes, "contexts": contexts, "histories": histories,
             "place": place, "look": tables(p, place), "out": p["out"], "prior": prior + p["outer"],
             "bias": attention_bias(p["distance"]), "within": within_class(pairs, classes, place, counts, by_context(by_history, histories)[1])}
