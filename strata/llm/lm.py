@@ -170,51 +170,99 @@ def classes_of(counts: np.ndarray, begins_word: np.ndarray) -> np.ndarray:
 
 
 N_CLASSES = OWN_CLASSES + 2 * SHARED_CLASSES
+PIECE = 64  # blocks
 
 
 def softmax(x):
-    e = np.exp(x - x.max(-1, keepdims=True))
-    return e / e.sum(-1, keepdims=True)
+    """In place."""
+    x -= x.max(-1, keepdims=True)
+    np.exp(x, out=x)
+    x /= x.sum(-1, keepdims=True)
+    return x
 
 
-def forward(p, inputs, first, place, prior):
-    """All that the gradients need; the class probabilities come last."""
-    x = p["embed"][place[inputs]]
-    around = with_before(x)
-    q, k, v = x @ p["query"], around @ p["key"], around @ p["value"]
-    s = q @ k.transpose(0, 2, 1) / np.float32(np.sqrt(DIM)) + attention_bias(p["distance"])
-    s[first, :, :SPAN] = FORBIDDEN
-    a = softmax(s)
-    z = x @ p["direct"] + a @ v + p["inner"]
-    r = np.maximum(z, 0)
-    return x, around, q, k, v, a, z, r, softmax(r @ p["out"] + p["outer"] + prior)
-
-
-def gradients(p, inputs, first, place, target, real, prior):
-    x, around, q, k, v, a, z, r, y = forward(p, inputs, first, place, prior)
-    n = max(int(real.sum()), 1)
-    loss = -np.log(np.maximum(np.take_along_axis(y, target[..., None], 2)[..., 0], 1e-12))[real].sum() / n
-    d = y.copy()
-    np.put_along_axis(d, target[..., None], np.take_along_axis(d, target[..., None], 2) - 1, 2)
-    d *= real[..., None] / np.float32(n)
+class Room:
+    """Arrays that the batches of a task reuse: no batch waits for new memory."""
+
+    def __init__(self):
+        self.held: dict[str, np.ndarray] = {}
+
+    def __call__(self, name: str, n: int, *shape: int, like=np.float32) -> np.ndarray:
+        held = self.held.get(name)
+        if held is None or len(held) < n or held.shape[1:] != shape or held.dtype != like:
+            held = self.held[name] = np.empty((n, *shape), like)
+        return held[:n]
+
+
+def gradients(p, inputs, first, place, target, real, prior, history=None, room=None, with_loss=True):
+    """(loss or None, gradients); ``prior``: by place of the blocks, or by ``history``. What is wide (the distances, the
+    classes) is worked through PIECE blocks at a time, which stay in a core's cache; sums over places run over all blocks."""
+    room, like, n = room or Room(), p["embed"].dtype, len(inputs)
     flat = lambda t: t.reshape(-1, t.shape[-1])
-    g = {"out": flat(r).T @ flat(d), "outer": flat(d).sum(0)}
-    dz = (d @ p["out"].T) * (z > 0)
-    g["inner"], g["direct"] = flat(dz).sum(0), flat(x).T @ flat(dz)
-    da, dv = dz @ v.transpose(0, 2, 1), a.transpose(0, 2, 1) @ dz
-    ds = a * (da - (da * a).sum(-1, keepdims=True))
+    at = place[inputs]
+    x = room("x", n, SPAN, DIM, like=like)
+    np.take(p["embed"], at, axis=0, out=x, mode="clip")
+    around = with_before(x)
+    q, z, dz, r = (room(name, n, SPAN, width, like=like) for name, width in (("q", DIM), ("z", HIDDEN), ("dz", HIDDEN), ("r", HIDDEN)))
+    k, v = room("k", n, 2 * SPAN, DIM, like=like), room("v", n, 2 * SPAN, HIDDEN, like=like)
+    for of, name, to in ((x, "query", q), (around, "key", k), (around, "value", v), (x, "direct", z)):
+        np.matmul(of, p[name], out=to)
+    d, ds = room("d", n, SPAN, N_CLASSES, like=like), room("ds", n, SPAN, 2 * SPAN, like=like)
+    dq, dk, dv = room("dq", n, SPAN, DIM, like=like), room("dk", n, 2 * SPAN, DIM, like=like), room("dv", n, 2 * SPAN, HIDDEN, like=like)
+    bias, root = attention_bias(p["distance"]), np.float32(np.sqrt(DIM))
+    places = max(int(real.sum()), 1)
+    share, padding = np.float32(1) / np.float32(places), ~real
+    loss = 0.0 if with_loss else None
+    for i in range(0, n, PIECE):
+        j = min(i + PIECE, n)
+        a, da, before = (room(name, j - i, SPAN, width, like=like) for name, width in (("a", 2 * SPAN), ("da", 2 * SPAN), ("before", N_CLASSES)))
+        np.matmul(q[i:j], k[i:j].transpose(0, 2, 1), out=a)
+        a /= root
+        a += bias
+        a[first[i:j], :, :SPAN] = FORBIDDEN
+        softmax(a)
+        own = z[i:j]
+        np.matmul(a, v[i:j], out=dz[i:j])
+        own += dz[i:j]
+        own += p["inner"]
+        np.maximum(own, 0, out=r[i:j])
+        y = d[i:j]
+        np.matmul(r[i:j], p["out"], out=y)
+        y += p["outer"]
+        y += prior[i:j] if history is None else np.take(prior, history[i:j], axis=0, out=before, mode="clip")
+        softmax(y)
+        cells = np.arange((j - i) * SPAN) * N_CLASSES + target[i:j].ravel()
+        line = y.reshape(-1)
+        if with_loss:
+            loss -= np.log(np.maximum(line[cells], 1e-12))[real[i:j].ravel()].sum() / places
+        line[cells] -= 1
+        y *= share
+        y[padding[i:j]] = 0
+        np.matmul(y, p["out"].T, out=dz[i:j])
+        dz[i:j] *= own > 0
+        np.matmul(dz[i:j], v[i:j].transpose(0, 2, 1), out=da)
+        np.matmul(a.transpose(0, 2, 1), dz[i:j], out=dv[i:j])
+        ds_own = ds[i:j]
+        np.multiply(da, a, out=ds_own)
+        da -= ds_own.sum(-1, keepdims=True)
+        np.multiply(a, da, out=ds_own)
     by = np.zeros(2 * SPAN, np.float32)
     np.add.at(by, np.maximum(DISTANCE, 0).ravel(), np.where(DISTANCE >= 0, ds.sum(0), 0).ravel())
-    g["distance"] = by
-    ds /= np.float32(np.sqrt(DIM))
-    dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-    g["query"], g["key"], g["value"] = flat(x).T @ flat(dq), flat(around).T @ flat(dk), flat(around).T @ flat(dv)
-    dx = dq @ p["query"].T + dz @ p["direct"].T
-    d_around = dk @ p["key"].T + dv @ p["value"].T
+    for i in range(0, n, PIECE):
+        own = ds[i:i + PIECE]
+        own /= root
+        np.matmul(own, k[i:i + PIECE], out=dq[i:i + PIECE])
+        np.matmul(own.transpose(0, 2, 1), q[i:i + PIECE], out=dk[i:i + PIECE])
+    g = {"out": flat(r).T @ flat(d), "outer": flat(d).sum(0), "inner": flat(dz).sum(0), "direct": flat(x).T @ flat(dz), "distance": by,
+         "query": flat(x).T @ flat(dq), "key": flat(around).T @ flat(dk), "value": flat(around).T @ flat(dv)}
+    dx = dq @ p["query"].T
+    dx += dz @ p["direct"].T
+    d_around = dk @ p["key"].T
+    d_around += dv @ p["value"].T
     dx += d_around[:, SPAN:]
     dx[:-1] += d_around[1:, :SPAN] * ~first[1:, None, None]
-    at, dx = place[inputs].ravel(), flat(dx)
-    g["embed"] = np.stack([np.bincount(at, weights=dx[:, j], minlength=len(p["embed"])) for j in range(dx.shape[1])], axis=1).astype(dx.dtype)
+    cells = (at.ravel() * DIM)[:, None] + np.arange(DIM)
+    g["embed"] = np.bincount(cells.ravel(), weights=dx.ravel(), minlength=p["embed"].size).reshape(p["embed"].shape).astype(like)
     return loss, g
 
 
@@ -226,12 +274,21 @@ class Adam:
     def step(self, g, rate: float) -> None:
         self.t += 1
         for k in self.p:
-            self.m[k] = 0.9 * self.m[k] + 0.1 * g[k]
-            self.s[k] = 0.98 * self.s[k] + 0.02 * g[k] * g[k]
-            self.p[k] -= (rate * (self.m[k] / (1 - 0.9**self.t)) / (np.sqrt(self.s[k] / (1 - 0.98**self.t)) + 1e-8)).astype(np.float32)
-
-
-def batch_gradients(p, part: slice, made, classes, place, histories, prior, begin: int):
+            m, s, step = self.m[k], self.s[k], g[k]
+            m *= 0.9
+            m += 0.1 * step
+            s *= 0.98
+            s += 0.02 * step * step
+            below = s / (1 - 0.98**self.t)
+            np.sqrt(below, out=below)
+            below += 1e-8
+            step = m / (1 - 0.9**self.t)
+            step *= rate
+            step /= below
+            self.p[k] -= step
+
+
+def batch_gradients(p, part: slice, made, classes, place, histories, prior, begin: int, room=None):
     inputs, targets, real, first = made
     begins = first[part].copy()
     begins[0] = True
@@ -239,7 +296,7 @@ def batch_gradients(p, part: slice, made, classes, place, histories, prior, begi
     if part.start and not first[part.start]:
         before = histories["contexts"][inputs[part.start - 1, -1]]
         history[0, 0] = histories["map"][before * BEFORE + histories["contexts"][inputs[part.start, 0]]]
-    return gradients(p, inputs[part], begins, place, classes[targets[part]], real[part], prior[history])[1]
+    return gradients(p, inputs[part], begins, place, classes[targets[part]], real[part], prior, history, room, with_loss=False)[1]
 
 
 def train(flat, bounds, classes, place, histories, prior, begin: int, end: int, seed: int = 3):
@@ -252,10 +309,10 @@ def train(flat, bounds, classes, place, histories, prior, begin: int, end: int,
         p["out"] *= 0
         return p
     p["out"] *= 0.1
-    made, adam = window_blocks(flat, bounds, begin, end), Adam(p)
+    made, adam, room = window_blocks(flat, bounds, begin, end), Adam(p), Room()
     for t in range(1, STEPS + 1):
         at = int(rng.integers(0, max(1, len(made[0]) - BATCH)))
-        g = batch_gradients(p, slice(at, at + BATCH), made, classes, place, histories, prior, begin)
+        g = batch_gradients(p, slice(at, at + BATCH), made, classes, place, histories, prior, begin, room)
         adam.step(g, RATE * min(1, 2 * (1 - t / (STEPS + 1))))
     return p
 
@@ -276,7 +333,7 @@ def trained_on_all(windows: DataFrame, total: int, p: dict, classes, place, hist
 
     def run(batches):
         first, classes, place, histories, prior = shared.value
-        now = adam = None
+        now, adam, room = None, None, Room()
         p, seen, reached = first, 0, np.zeros(edges[-1] + 1)  # all groups of the task, and their windows
 
         for batch in batches:
@@ -291,7 +348,7 @@ def trained_on_all(windows: DataFrame, total: int, p: dict, classes, place, hist
                     flat, bounds = read_windows(batch.column("window").slice(i, min(1000, y - i)))
                     made = window_blocks(flat, bounds, begin, end)
                     for at in range(0, len(made[0]), BATCH):
-                        adam.step(batch_gradients(p, slice(at, at + BATCH), made, classes, place, histories, prior, begin), RATE * LATER)
+                        adam.step(batch_gradients(p, slice(at, at + BATCH), made, classes, place, histories, prior, begin, room), RATE * LATER)
                     seen += len(bounds) - 1
         reached += np.concatenate([*(p[k].ravel() for k in names), [1]]).astype(np.float64) * seen
         if reached[-1]:
@@ -318,31 +375,44 @@ def class_logs(look, out, prior, bias, inputs, first, target, history) -> np.nda
     """ln p(class of the target) for every place of the blocks, by batched masked attention."""
     query, key, value, direct = look
     result = np.empty(inputs.shape, np.float32)
-    step = 512
+    step, room = 512, Room()
     for i in range(0, len(inputs), step):
-        before = max(i - 1, 0)
-        ids = inputs[before:i + step]
-        own = inputs[i:i + step]
-        k, v = key[ids], value[ids]
-        if i == 0:
-            k, v = np.concatenate([k[:1], k]), np.concatenate([v[:1], v])
-        k, v = np.concatenate([k[:-1], k[1:]], axis=1), np.concatenate([v[:-1], v[1:]], axis=1)
-        s = np.matmul(query[own], k.transpose(0, 2, 1))
-        s += bias
-        s[first[i:i + step], :, :SPAN] = FORBIDDEN
-        np.minimum(s, 60, out=s)
-        np.exp(s, out=s)
-        weight = s.sum(-1, keepdims=True)
-        z = np.matmul(s, v)
-        z /= weight
-        z += direct[own]
-        np.maximum(z, 0, out=z)
-        y = z.reshape(-1, z.shape[-1]) @ out
-        y += prior[history[i:i + step].ravel()]
-        picked = np.take_along_axis(y, target[i:i + step].reshape(-1, 1), 1)[:, 0]
-        np.minimum(y, 60, out=y)  # log probabilities and what is learned onto them: no sum overflows
-        np.exp(y, out=y)
-        result[i:i + step] = (np.minimum(picked, 60) - np.log(y.sum(-1))).reshape(own.shape)
+        j = min(i + step, len(inputs))
+        z, y = room("z", j - i, SPAN, value.shape[1]), room("y", (j - i) * SPAN, out.shape[1])
+        for a in range(i, j, PIECE):  # what a piece holds stays in a core's cache
+            b = min(a + PIECE, j)
+            ids = inputs[max(a - 1, 0):b]
+            own = inputs[a:b]
+            k, v = (room(name, b - a, 2 * SPAN, t.shape[1]) for name, t in (("k", key), ("v", value)))
+            for around, t in ((k, key), (v, value)):
+                found = np.take(t, ids, axis=0, mode="clip")
+                around[:, SPAN:] = found[len(ids) - (b - a):]
+                around[len(around) - len(found) + 1:, :SPAN] = found[:-1]
+                if not a:
+                    around[0, :SPAN] = found[0]
+            s = np.matmul(np.take(query, own, axis=0, mode="clip"), k.transpose(0, 2, 1), out=room("s", b - a, SPAN, 2 * SPAN))
+            s += bias
+            s[first[a:b], :, :SPAN] = FORBIDDEN
+            if s.max() > 60:
+                np.minimum(s, 60, out=s)
+            np.exp(s, out=s)
+            weight = s.sum(-1, keepdims=True)
+            mine = np.matmul(s, v, out=z[a - i:b - i])
+            mine /= weight
+            mine += np.take(direct, own, axis=0, mode="clip")
+            np.maximum(mine, 0, out=mine)
+        np.matmul(z.reshape(-1, z.shape[-1]), out, out=y)
+        before = history[i:j].ravel()
+        wanted = target[i:j].ravel()
+        logs = result[i:j].reshape(-1)
+        for a in range(0, len(y), PIECE * SPAN):
+            rows = y[a:a + PIECE * SPAN]
+            rows += np.take(prior, before[a:a + len(rows)], axis=0, out=room("before", len(rows), prior.shape[1]), mode="clip")
+            picked = rows.reshape(-1)[np.arange(len(rows)) * rows.shape[1] + wanted[a:a + len(rows)]]
+            if rows.max() > 60:
+                np.minimum(rows, 60, out=rows)  # log probabilities and what is learned onto them: no sum overflows
+            np.exp(rows, out=rows)
+            logs[a:a + len(rows)] = np.minimum(picked, 60) - np.log(rows.sum(-1))
     return result
 
 
